@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +27,10 @@ def scenario_dim(spark: SparkSession, groups: dict[str, list[str]] | None = None
     """(scenario, ordinal, group) in display order."""
     groups = scenario_groups() if groups is None else groups
     flat = [(s, g) for g, members in groups.items() for s in members]
-    rows = [
-        F.struct(F.lit(s).alias("scenario"), F.lit(i).alias("ordinal"), F.lit(g).alias("group"))
-        for i, (s, g) in enumerate(flat, start=1)
-    ]
-    # literals keep the size known to the planner, which broadcasts by it
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    rows = [{"scenario": s, "ordinal": i, "group": g} for i, (s, g) in enumerate(flat, start=1)]
+    # a literal keeps the size known to the planner, which broadcasts by it
+    schema = "array<struct<scenario: string, ordinal: int, group: string>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
 
 
 def usable(model_run: Column) -> Column:

@@ -5,7 +5,8 @@ one task's memory. A group may hold a third of a very large table, so that is do
 only behind a size check; otherwise the group is spread over many tasks:
 
 1. count equal values: (keys, value) -> n, combined before the shuffle; a hot group is
-   spread over all tasks by its values, and this shuffle is reused by every later step;
+   spread over all tasks by its values. The counts are written once to the shared
+   scratch folder, so the steps below never run the source's plan again;
 2. a bounded sketch per group gives split points between its distinct values;
 3. counts per (keys, bin) turn ranks into offsets; only the few bins that hold a wanted
    rank go on;
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions.semantics import nan_to_null
+from runlens.sources.scratch import stored
 
 DIRECT_BYTES_CONF = "spark.runlens.quantiles.directBytes"
 DIRECT_BYTES = 256 * 1024 * 1024
@@ -202,4 +204,4 @@ def group_stats(df: DataFrame, keys: list[str], value: Column, probs: list[float
     """n_rows, n, mean, sd, total, least, most and quantiles q0..qk per group."""
     if not probs or fits_one_task(df):
         return direct_stats(df, keys, value, probs)
-    return spread_stats(count_values(df, keys, value), keys, probs)
+    return spread_stats(stored(count_values(df, keys, value), "values"), keys, probs)

@@ -16,6 +16,7 @@ from runlens.operators.quantiles import (
     same_keys,
     spread_stats,
 )
+from runlens.sources.scratch import stored
 
 _SIMPLE = {"mean": "mean", "sd": "sd", "sum": "total", "min": "least", "max": "most"}
 RIBBON = {"median_ratio": 0.5, "lower_quartile": 0.25, "upper_quartile": 0.75}
@@ -91,8 +92,8 @@ def boxplot_stats(df: DataFrame, keys: list[str], col: str | Column, reach: floa
 
     Hinges are quartiles; whiskers end at the extreme values within `reach` hinge
     spreads of the hinges; values beyond are counted as outliers. The fences need a
-    second look at the values: both looks share the shuffle that counts equal values,
-    and the fences of the few groups join it.
+    second look at the values: both looks share one count of equal values, and the
+    fences of the few groups join it.
     """
     probs = [0.25, 0.5, 0.75]
     value = _value(col)
@@ -103,6 +104,7 @@ def boxplot_stats(df: DataFrame, keys: list[str], col: str | Column, reach: floa
             *keys, *[F.col("q")[i].alias(f"q{i}") for i in range(3)]
         )
     else:
+        vals = stored(vals, "values")
         q = spread_stats(vals, keys, probs).select(*keys, "q0", "q1", "q2")
     v, c = F.col("v"), F.col("c")
     spread = (F.col("q2") - F.col("q0")) * reach

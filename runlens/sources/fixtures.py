@@ -7,7 +7,7 @@ so hot keys are combined before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.sources.summary import Summary
@@ -18,6 +18,7 @@ PANEL_SCENARIOS = [
     "rt_2_x_all_yrs", "flat_x_flat_rt_2", "flat_x_young_rt_2", "young_x_young_all_yrs",
 ]
 INDEX_SCENARIOS = ["no_rt", "rt_2_x_rt_2", "flat_x_flat_rt_2"]
+RUNS = ["Base", "base_OM", "base_EM_1998", "base_EM_2001", "base_EM_init"]
 FLEETS = range(1, 6)
 AGES = range(21)
 UNIT = 10000
@@ -27,100 +28,127 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _units(x: Column) -> Column:
-    return F.rint(x * UNIT).cast("bigint")
+def _units(x: str) -> str:
+    return f"cast(rint(({x}) * {UNIT}D) as bigint)"
 
 
-def _total(units: Column) -> Column:
-    return F.sum(units) / F.lit(float(UNIT))
+def _total(units: str, fleet: int | None = None) -> str:
+    """Sum of integer units, of one fleet if given, scaled back."""
+    picked = units if fleet is None else f"if(fleet = {fleet}, {units}, 0L)"
+    return f"sum({picked}) / {UNIT}D"
 
 
-def _pick(names: list[str], key: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in names]), (key % len(names) + 1).cast("int"))
+def _name(names: list[str], code: str) -> str:
+    whens = " ".join(f"when {i} then '{n}'" for i, n in enumerate(names))
+    return f"case {code} {whens} end"
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem with the panel's key columns and integer measures."""
-    price, disc, tax, qty = (
-        F.col(f"l_{c}") for c in ("extendedprice", "discount", "tax", "quantity")
-    )
-    return table(spark, sf_dir, "lineitem").select(
-        _pick(PANEL_SCENARIOS, F.col("l_partkey")).alias("scenario"),
-        F.col("l_suppkey").cast("int").alias("iteration"),
-        F.when(F.col("l_linenumber") == 7, "Base")
-        .when(F.col("l_linestatus") == "F", "base_OM")
-        .when(F.col("l_returnflag") == "A", "base_EM_1998")
-        .when(F.col("l_returnflag") == "R", "base_EM_2001")
-        .otherwise("base_EM_init")
-        .alias("model_run"),
-        F.year("l_shipdate").alias("year"),
-        F.col("l_linenumber").alias("fleet"),
+    """lineitem with the panel's key columns, coded as integers, and integer measures."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        f"cast(l_partkey % {len(PANEL_SCENARIOS)} as int) as scenario_code",
+        "cast(l_suppkey as int) as iteration",
+        """case when l_linenumber = 7 then 0
+                when l_linestatus = 'F' then 1
+                when l_returnflag = 'A' then 2
+                when l_returnflag = 'R' then 3
+                else 4 end as run_code""",
+        "year(l_shipdate) as year",
+        "l_linenumber as fleet",
         "l_partkey",
         "l_orderkey",
         "l_suppkey",
         "l_tax",
         "l_discount",
         "l_quantity",
-        _units(price).alias("price"),
-        _units(price * (1 + tax)).alias("taxed"),
-        _units(disc).alias("disc"),
-        _units(tax).alias("tax"),
-        _units(qty).alias("qty"),
-        _units(qty * (1 - disc)).alias("net"),
+        f"{_units('l_extendedprice')} as price",
+        f"{_units('l_extendedprice * (1 + l_tax)')} as taxed",
+        f"{_units('l_discount')} as disc",
+        f"{_units('l_tax')} as tax",
+        f"{_units('l_quantity')} as qty",
+        f"{_units('l_quantity * (1 - l_discount)')} as net",
     )
 
 
-def _fleet_total(measure: str, fleet: int) -> Column:
-    return _total(F.when(F.col("fleet") == fleet, F.col(measure)).otherwise(F.lit(0)))
+def _by_fleet(prefix: str, units: str, fleets=FLEETS) -> list[str]:
+    return [f"{_total(units, f)} as {prefix}{f}" for f in fleets]
+
+
+def _agg(df: DataFrame, keys: list[str], aggs: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
+
+
+def _panel(df: DataFrame, keys: list[str], aggs: list[str], run: str = "model_run") -> DataFrame:
+    """Aggregate by scenario, run and `keys`.
+
+    Groups are hashed and shuffled by their integer codes; names come afterwards.
+    """
+    out = _agg(df, ["scenario_code", "run_code", *keys], aggs)
+    measures = [f"`{c}`" for c in out.columns if c not in ("scenario_code", "run_code", *keys)]
+    return out.selectExpr(
+        f"{_name(PANEL_SCENARIOS, 'scenario_code')} as scenario",
+        *keys,
+        f"{_name(RUNS, 'run_code')} as {run}",
+        *measures,
+    )
 
 
 def ts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aggs = [_fleet_total("disc", f).alias(f"F_{f}") for f in FLEETS]
-    aggs += [_fleet_total("qty", f).alias(f"deadB_{f}") for f in FLEETS]
-    aggs += [
-        F.count_if(F.col("fleet") == f).cast("double").alias(f"deadN_{f}") for f in FLEETS
-    ]
-    aggs += [_fleet_total("net", f).alias(f"retainB_{f}") for f in range(1, 5)]
-    aggs += [
-        _total(F.col("price")).alias("SpawnBio"),
-        _total(F.col("taxed")).alias("Bio_smry"),
-        F.count(F.lit(1)).cast("double").alias("Recruit_0"),
-        _total(F.col("tax") - F.col("disc")).alias("rec_dev"),
-        _total(F.col("tax")).alias("SPRratio"),
-    ]
-    return _runs(spark, sf_dir).groupBy("scenario", "iteration", "year", "model_run").agg(*aggs)
+    return _panel(
+        _runs(spark, sf_dir),
+        ["iteration", "year"],
+        [
+            *_by_fleet("F_", "disc"),
+            *_by_fleet("deadB_", "qty"),
+            *[f"cast(count_if(fleet = {f}) as double) as deadN_{f}" for f in FLEETS],
+            *_by_fleet("retainB_", "net", range(1, 5)),
+            f"{_total('price')} as SpawnBio",
+            f"{_total('taxed')} as Bio_smry",
+            "cast(count(1) as double) as Recruit_0",
+            f"{_total('tax - disc')} as rec_dev",
+            f"{_total('tax')} as SPRratio",
+        ],
+    )
 
 
 def dq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived quantities under their raw, dotted names."""
-    return _runs(spark, sf_dir).groupBy("scenario", "iteration", "year", "model_run").agg(
-        _total(F.col("price")).alias("Value.SSB"),
-        F.count(F.lit(1)).cast("double").alias("Value.Recr"),
-        _total(F.col("tax")).alias("Value.SPRratio"),
-        _total(F.col("qty")).alias("Value.Bratio"),
-        _total(F.col("disc")).alias("Value.F"),
+    return _panel(
+        _runs(spark, sf_dir),
+        ["iteration", "year"],
+        [
+            f"{_total('price')} as `Value.SSB`",
+            "cast(count(1) as double) as `Value.Recr`",
+            f"{_total('tax')} as `Value.SPRratio`",
+            f"{_total('qty')} as `Value.Bratio`",
+            f"{_total('disc')} as `Value.F`",
+        ],
     )
 
 
 def scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def fleet_max(col: Column, f: int) -> Column:
-        return F.max(F.when(F.col("fleet") == f, col))
-
-    aggs = [
-        _total(F.col("disc")).alias("max_grad"),
-        _total(F.col("tax")).alias("SR_LN_R0"),
-        _total(F.col("price")).alias("SSB_Unfished"),
-        _total(F.col("qty")).alias("SSB_SPR"),
-        F.max("l_tax").alias("F_MSY"),
+    retention = [
+        agg
+        for f in (1, 2)
+        for agg in (
+            f"max(if(fleet = {f}, l_discount, null)) as Retain_L_asymptote_logit_fleet{f}",
+            f"max(if(fleet = {f}, l_quantity, null)) as Retain_L_infl_fleet{f}",
+            f"1 + max(if(fleet = {f}, l_tax, null)) as Retain_L_width_fleet{f}",
+        )
     ]
-    aggs += [_fleet_total("disc", f).alias(f"AgeSel_P{f}_event_5") for f in FLEETS]
-    for f in (1, 2):
-        aggs += [
-            fleet_max(F.col("l_discount"), f).alias(f"Retain_L_asymptote_logit_fleet{f}"),
-            fleet_max(F.col("l_quantity"), f).alias(f"Retain_L_infl_fleet{f}"),
-            (1 + fleet_max(F.col("l_tax"), f)).alias(f"Retain_L_width_fleet{f}"),
-        ]
-    return _runs(spark, sf_dir).groupBy("scenario", "iteration", "model_run").agg(*aggs)
+    return _panel(
+        _runs(spark, sf_dir),
+        ["iteration"],
+        [
+            f"{_total('disc')} as max_grad",
+            f"{_total('tax')} as SR_LN_R0",
+            f"{_total('price')} as SSB_Unfished",
+            f"{_total('qty')} as SSB_SPR",
+            "max(l_tax) as F_MSY",
+            *[f"{_total('disc', f)} as AgeSel_P{f}_event_5" for f in FLEETS],
+            *retention,
+        ],
+    )
 
 
 def summary(spark: SparkSession, sf_dir: str) -> Summary:
@@ -129,79 +157,65 @@ def summary(spark: SparkSession, sf_dir: str) -> Summary:
 
 def at_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers at age in the reports' wide layout, one column per age."""
-    part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 21).alias("age"))
-    rows = _runs(spark, sf_dir).join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return rows.groupBy(
-        "scenario",
-        "iteration",
-        F.col("model_run").alias("run"),
-        F.col("year").alias("Yr"),
-        F.when(F.col("fleet") % 2 == 0, "B").otherwise("M").alias("beg_mid"),
-        "fleet",
-    ).agg(
-        *[
-            _total(F.when(F.col("age") == a, F.col("qty")).otherwise(F.lit(0))).alias(str(a))
-            for a in AGES
-        ]
+    part = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size % 21 as age")
+    rows = (
+        _runs(spark, sf_dir)
+        .join(part, F.expr("l_partkey = p_partkey"))
+        .withColumns({"beg_mid": F.expr("if(fleet % 2 = 0, 'B', 'M')")})
+        .withColumnRenamed("year", "Yr")
+    )
+    return _panel(
+        rows,
+        ["iteration", "Yr", "beg_mid", "fleet"],
+        [f"sum(if(age = {a}, qty, 0L)) / {UNIT}D as `{a}`" for a in AGES],
+        run="run",
     )
 
 
 def cpue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed and expected abundance indices."""
-    return (
-        table(spark, sf_dir, "events")
-        .groupBy(
-            _pick(INDEX_SCENARIOS, F.col("user_id")).alias("scenario"),
-            (F.col("user_id") % 10).cast("int").alias("iteration"),
-            F.when(F.col("event_id") % 2 == 0, "OM").otherwise("EM").alias("model"),
-            F.col("event_type").alias("fleet_name"),
-            F.dayofmonth("ts").alias("yr"),
-        )
-        .agg(
-            _total(_units(F.col("value"))).alias("obs"),
-            F.sum(F.get_json_object("props", "$.k").cast("bigint")).cast("double").alias("exp"),
-        )
+    rows = table(spark, sf_dir, "events").selectExpr(
+        f"{_name(INDEX_SCENARIOS, f'user_id % {len(INDEX_SCENARIOS)}')} as scenario",
+        "cast(user_id % 10 as int) as iteration",
+        "if(event_id % 2 = 0, 'OM', 'EM') as model",
+        "event_type as fleet_name",
+        "dayofmonth(ts) as yr",
+        f"{_units('value')} as value",
+        "cast(get_json_object(props, '$.k') as bigint) as k",
+    )
+    return _agg(
+        rows,
+        ["scenario", "iteration", "model", "fleet_name", "yr"],
+        [f"{_total('value')} as obs", "cast(sum(k) as double) as exp"],
     )
 
 
 def plan_catch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey"), F.year("o_orderdate").alias("order_year")
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "year(o_orderdate) as order_year")
+    rows = _runs(spark, sf_dir).join(orders, F.expr("l_orderkey = o_orderkey")).selectExpr(
+        "order_year as year", "fleet", "tax", "qty"
     )
-    return (
-        _runs(spark, sf_dir)
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy(F.col("order_year").alias("year"), "fleet")
-        .agg(
-            F.lit(1).alias("seas"),
-            (_total(F.col("tax")) / F.count(F.lit(1))).alias("catch_se"),
-            _total(F.col("qty")).alias("catch"),
-        )
+    return _agg(
+        rows,
+        ["year", "fleet"],
+        ["1 as seas", f"{_total('tax')} / count(1) as catch_se", f"{_total('qty')} as catch"],
     )
 
 
+_ACTIVE = "fleet <> 3 or year < 1999"
+
+
 def plan_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        _runs(spark, sf_dir)
-        .where((F.col("fleet") != 3) | (F.col("year") < 1999))
-        .groupBy("year", F.col("fleet").alias("index"))
-        .agg((_total(F.col("disc")) / F.count(F.lit(1))).alias("se_log"))
-    )
+    rows = _runs(spark, sf_dir).where(_ACTIVE).withColumnRenamed("fleet", "index")
+    return _agg(rows, ["year", "index"], [f"{_total('disc')} / count(1) as se_log"])
 
 
 def plan_comps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length or age composition samples by year, fleet and partition."""
-    return (
-        _runs(spark, sf_dir)
-        .where((F.col("fleet") != 3) | (F.col("year") < 1999))
-        .groupBy(
-            F.col("year").alias("yr"),
-            F.lit(7).alias("seas"),
-            F.col("fleet").alias("fltsvy"),
-            (F.col("l_suppkey") % 3).cast("int").alias("part"),
-        )
-        .agg(_total(F.col("qty")).alias("nsamp"))
+    rows = _runs(spark, sf_dir).where(_ACTIVE).selectExpr(
+        "year as yr", "7 as seas", "fleet as fltsvy", "cast(l_suppkey % 3 as int) as part", "qty"
     )
+    return _agg(rows, ["yr", "seas", "fltsvy", "part"], [f"{_total('qty')} as nsamp"])
 
 
 def years(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,11 +224,10 @@ def years(spark: SparkSession, sf_dir: str) -> DataFrame:
         _runs(spark, sf_dir)
         .select("year")
         .distinct()
-        .select(F.col("year").alias("yr"), F.lit(1).alias("seas"), F.lit(5).alias("fltsvy"),
-                F.lit(0.0).alias("catch"))
+        .selectExpr("year as yr", "1 as seas", "5 as fltsvy", "0D as catch")
     )
 
 
 def iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replicate numbers starting at 1."""
-    return _runs(spark, sf_dir).select((F.col("iteration") + 1).alias("iteration")).distinct()
+    return _runs(spark, sf_dir).selectExpr("iteration + 1 as iteration").distinct()

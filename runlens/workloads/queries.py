@@ -15,12 +15,10 @@ from runlens.functions import names
 from runlens.functions.semantics import (
     ROW_KEYS,
     YEAR_KEYS,
-    label_year,
     metric_columns,
     nan_to_null,
     role,
     rounded,
-    safe_ratio,
 )
 from runlens.operators import compare as cmp
 from runlens.operators import curate, derive, report
