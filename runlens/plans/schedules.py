@@ -44,11 +44,11 @@ def _uniform(*parts: Column) -> Column:
 def balanced_random_schedule(template: DataFrame, iterations: DataFrame, n: int, lo: float,
                              hi: float, mean: float, seed: int, fleet: int = 5,
                              chain: int = 1000) -> DataFrame:
-    """n distinct event years per iteration, using all years evenly.
+    """n distinct event years per iteration, spread over all years.
 
     Iterations draw n years at a time from a shuffled pool without replacement; a pool
     that has become too short is topped up with a new shuffle of the years it lacks, so
-    no year is skipped. Magnitudes are uniform on [lo, hi), rescaled so that each
+    a year left over is drawn next. Magnitudes are uniform on [lo, hi), rescaled so that each
     iteration's mean is `mean`.
 
     Each draw depends on the one before, so the pool is folded along blocks of `chain`

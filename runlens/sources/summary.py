@@ -37,22 +37,15 @@ def load_summary(spark: SparkSession, root: str) -> Summary:
     return Summary(*(read_table(spark, f"{root}/{t}") for t in TABLES))
 
 
-def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("scenario",),
-                files_per_partition: int = 0) -> None:
+def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("scenario",)) -> None:
     """Write one table partitioned for pruning.
 
     Rows are clustered on the partition columns first, so a scenario ends in a few
-    files and not in one per task. REBALANCE lets adaptive execution split a
-    scenario that holds most of the rows, so no single task writes all of it.
-    `files_per_partition` > 0 fixes a salted number of files instead.
+    files and not in one per task. The rebalance lets adaptive execution split a
+    scenario that holds most of the rows: no single task writes all of it.
     """
-    if files_per_partition > 0:
-        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in partition_by]),
-                      F.lit(files_per_partition))
-        df = df.repartition(*partition_by, salt)
-    else:
-        df = df.hint("rebalance", *partition_by)
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    clustered = df.hint("rebalance", *[F.col(c) for c in partition_by])
+    clustered.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def write_summary(summary: Summary, root: str, partition_by: tuple[str, ...] = ("scenario",)) -> None:
