@@ -9,7 +9,7 @@ only behind a size check; otherwise the group is spread over many tasks:
    scratch folder, so the steps below never run the source's plan again;
 2. a bounded sketch per group gives split points between its distinct values;
 3. counts per (keys, bin) turn ranks into offsets; only the few bins that hold a wanted
-   rank go on;
+   rank go on, and are split again while one has more values than a task should sort;
 4. those bins are ranked exactly, each by its own task, and the order statistics picked.
 
 No value is dropped or approximated: the sketch only decides where bins are cut.
@@ -25,6 +25,8 @@ from runlens.sources.scratch import stored
 
 DIRECT_BYTES_CONF = "spark.runlens.quantiles.directBytes"
 DIRECT_BYTES = 256 * 1024 * 1024
+TASK_VALUES_CONF = "spark.runlens.quantiles.taskValues"
+TASK_VALUES = 1_000_000
 BINS = 64
 
 
@@ -59,7 +61,9 @@ def count_values(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
 
 
 def interpolate(lo: Column, hi: Column, weight: Column) -> Column:
-    return F.when(lo == hi, lo).otherwise(nan_to_null(lo + (hi - lo) * weight))
+    """Between neighbours; the weighted form keeps an infinite neighbour infinite."""
+    mixed = nan_to_null(lo * (1 - weight) + hi * weight)
+    return F.when((lo == hi) | (weight == 0), lo).otherwise(mixed)
 
 
 def _wanted(p: float, total: Column) -> tuple[Column, Column, Column]:
@@ -68,32 +72,49 @@ def _wanted(p: float, total: Column) -> tuple[Column, Column, Column]:
     return F.floor(h), F.ceil(h), h - F.floor(h)
 
 
-def spread_stats(vals: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    """Quantiles and moments of counted values without a task per group.
+def _split(vals: DataFrame, keys: list[str]) -> DataFrame:
+    """Number each value's bin within its group: 0..BINS-1, and -1 for missing values.
 
-    Returns keys, n_rows, n, mean, sd, total, least, most and q0..qk for `probs`.
+    `mid` is a finite central value of the group.
     """
-    known = vals.where(F.col("v").isNotNull())
     cuts = [i / BINS for i in range(1, BINS)]
-    sketch = known.groupBy(*keys).agg(F.percentile_approx("v", cuts, 10000).alias("cuts"))
-    binned = (
+    sketch = (
+        vals.where(F.col("v").isNotNull())
+        .groupBy(*keys)
+        .agg(F.percentile_approx("v", cuts, 1000).alias("cuts"))
+    )
+    center = F.col("cuts")[BINS // 2]
+    number = F.size(F.filter("cuts", lambda cut: cut < F.col("v")))
+    return (
         vals.alias("a")
         .join(sketch.alias("b"), same_keys("a", "b", keys), "left")
         .select(
-            *[F.col(f"a.{k}").alias(k) for k in keys],
-            "v",
-            "c",
-            F.size(F.filter("cuts", lambda s: s < F.col("v"))).alias("bin"),
-            # moments are taken around a central value to keep their digits
-            F.when(F.abs(F.col("cuts")[BINS // 2]) < float("inf"), F.col("cuts")[BINS // 2])
-            .otherwise(F.lit(0.0))
-            .alias("mid"),
+            "a.*",
+            F.when(F.col("v").isNull(), -1).otherwise(number).alias("bin"),
+            F.when(F.abs(center) < float("inf"), center).otherwise(F.lit(0.0)).alias("mid"),
         )
-        .withColumn("bin", F.when(F.col("v").isNull(), -1).otherwise(F.col("bin")))
     )
-    off = F.col("v") - F.col("mid")
+
+
+def _holding_a_rank(bins: DataFrame, probs: list[float]) -> DataFrame:
+    """Bins (with `before` and `upto` rows of the group at or below them) that matter."""
+    holds = F.lit(False)
+    for p in probs:
+        lo, hi, _ = _wanted(p, F.col("n_known"))
+        holds = holds | ((F.col("before") <= hi) & (lo < F.col("upto")))
+    return bins.where((F.col("bin") >= 0) & holds)
+
+
+def spread_stats(vals: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Quantiles and moments of counted values without a task per group.
+
+    Returns keys, n_rows, n, mean, sd, total, least, most and q0..qk for `probs`.
+    """
+    binned = _split(vals, keys)
+    off = F.col("v") - F.col("mid")  # moments around a central value keep their digits
     bins = binned.groupBy(*keys, "bin").agg(
         F.sum("c").alias("n"),
+        F.count(F.lit(1)).alias("n_values"),
         F.max("mid").alias("mid"),
         F.sum(F.col("c") * off).alias("s1"),
         F.sum(F.col("c") * off * off).alias("s2"),
@@ -101,65 +122,94 @@ def spread_stats(vals: DataFrame, keys: list[str], probs: list[float]) -> DataFr
         F.min("v").alias("least"),
         F.max("v").alias("most"),
     )
-    known_n = F.when(F.col("bin") >= 0, F.col("n")).otherwise(F.lit(0))
-    ordered = Window.partitionBy(*keys).orderBy("bin")
-    whole = Window.partitionBy(*keys)
+    known = F.when(F.col("bin") >= 0, F.col("n")).otherwise(F.lit(0))
+    ordered, whole = Window.partitionBy(*keys).orderBy("bin"), Window.partitionBy(*keys)
     ranked = bins.withColumns(
-        {
-            "upto": F.sum(known_n).over(ordered),
-            "n_known": F.sum(known_n).over(whole),
-        }
-    ).withColumn("before", F.col("upto") - known_n)
-
-    moments = ranked.groupBy(*keys).agg(
-        F.sum("n").alias("n_rows"),
-        F.max("n_known").alias("n"),
-        F.max("mid").alias("mid"),
-        F.sum("s1").alias("s1"),
-        F.sum("s2").alias("s2"),
-        F.sum("total").alias("total"),
-        F.min("least").alias("least"),
-        F.max("most").alias("most"),
-    )
+        {"upto": F.sum(known).over(ordered), "n_known": F.sum(known).over(whole)}
+    ).withColumn("before", F.col("upto") - known)
+
     n = F.col("n")
     spread = F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / n, F.lit(0.0))
-    out = moments.select(
-        *keys,
-        "n_rows",
-        "n",
-        F.when(n > 0, nan_to_null(F.col("mid") + F.try_divide(F.col("s1"), n))).alias("mean"),
-        F.when(n > 1, nan_to_null(F.sqrt(F.try_divide(spread, n - 1)))).alias("sd"),
-        nan_to_null(F.col("total")).alias("total"),
-        "least",
-        "most",
+    out = (
+        ranked.groupBy(*keys)
+        .agg(
+            F.sum("n").alias("n_rows"),
+            F.max("n_known").alias("n"),
+            *[F.max(c).alias(c) for c in ("mid", "most")],
+            *[F.sum(c).alias(c) for c in ("s1", "s2", "total")],
+            F.min("least").alias("least"),
+        )
+        .select(
+            *keys,
+            "n_rows",
+            "n",
+            F.when(n > 0, nan_to_null(F.col("mid") + F.try_divide(F.col("s1"), n))).alias("mean"),
+            F.when(n > 1, nan_to_null(F.sqrt(F.try_divide(spread, n - 1)))).alias("sd"),
+            nan_to_null(F.col("total")).alias("total"),
+            "least",
+            "most",
+        )
     )
     if not probs:
         return out
+    quantiles = _order_statistics(binned, ranked, keys, probs)
+    return (
+        out.alias("a")
+        .join(quantiles.alias("b"), same_keys("a", "b", keys), "left")
+        .select("a.*", *[f"q{i}" for i in range(len(probs))])
+    )
 
-    holds = F.lit(False)
-    for p in probs:
-        lo, hi, _ = _wanted(p, F.col("n_known"))
-        holds = holds | ((F.col("before") <= hi) & (lo < F.col("upto")))
-    bins_wanted = ranked.where((F.col("bin") >= 0) & holds).select(*keys, "bin", "before", "n_known")
-    within = Window.partitionBy(*keys, "bin").orderBy("v").rowsBetween(
+
+def _order_statistics(binned: DataFrame, ranked: DataFrame, keys: list[str],
+                      probs: list[float]) -> DataFrame:
+    """Exact quantiles from binned values and their ranked bins."""
+    limit = int(binned.sparkSession.conf.get(TASK_VALUES_CONF, str(TASK_VALUES)))
+    binned = binned.withColumn("slot", F.lit(0).cast("bigint"))
+    ranked = ranked.withColumn("slot", F.lit(0).cast("bigint"))
+    in_slot = [*keys, "slot"]
+    while True:
+        # a slot is one chosen bin; the table of slots is a few rows per group
+        slots = stored(_holding_a_rank(ranked, probs).select(
+            *in_slot, "bin", "before", "n_known", "n_values"
+        ), "slots")
+        chosen = (
+            binned.alias("a")
+            .join(slots.alias("b"), same_keys("a", "b", [*in_slot, "bin"]))
+            .select(
+                *[F.col(f"a.{k}").alias(k) for k in keys],
+                (F.col("a.slot") * BINS + F.col("a.bin")).alias("slot"),
+                "v", "c", "before", "n_known",
+            )
+        )
+        if (slots.agg(F.max("n_values")).first()[0] or 0) <= limit:
+            break
+        binned = _split(stored(chosen, "values"), in_slot)
+        within = Window.partitionBy(*in_slot).orderBy("bin")
+        ranked = (
+            binned.groupBy(*in_slot, "bin")
+            .agg(
+                F.sum("c").alias("n"),
+                F.count(F.lit(1)).alias("n_values"),
+                F.max("before").alias("before"),
+                F.max("n_known").alias("n_known"),
+            )
+            .withColumn("upto", F.col("before") + F.sum("n").over(within))
+            .withColumn("before", F.col("upto") - F.col("n"))
+        )
+        binned = binned.drop("before", "n_known")
+    upto = Window.partitionBy(*in_slot).orderBy("v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    stats = (
-        binned.alias("a")
-        .join(bins_wanted.alias("b"), same_keys("a", "b", [*keys, "bin"]))
-        .select(
-            *[F.col(f"a.{k}").alias(k) for k in [*keys, "bin"]], "v", "c", "before", "n_known"
-        )
-        .withColumn("upto", F.sum("c").over(within) + F.col("before"))
-        .withColumn("start", F.col("upto") - F.col("c"))
+    placed = chosen.withColumn("upto", F.sum("c").over(upto) + F.col("before")).withColumn(
+        "start", F.col("upto") - F.col("c")
     )
     picks = []
     for i, p in enumerate(probs):
         for side, rank in zip(("lo", "hi"), _wanted(p, F.col("n_known"))):
             hit = (F.col("start") <= rank) & (rank < F.col("upto"))
             picks.append(F.max(F.when(hit, F.col("v"))).alias(f"{side}{i}"))
-    picked = stats.groupBy(*keys).agg(F.max("n_known").alias("n_known"), *picks)
-    quantiles = picked.select(
+    picked = placed.groupBy(*keys).agg(F.max("n_known").alias("n_known"), *picks)
+    return picked.select(
         *keys,
         *[
             interpolate(
@@ -168,15 +218,6 @@ def spread_stats(vals: DataFrame, keys: list[str], probs: list[float]) -> DataFr
             for i, p in enumerate(probs)
         ],
     )
-    return (
-        out.alias("a")
-        .join(quantiles.alias("b"), same_keys("a", "b", keys), "left")
-        .select(
-            *[F.col(f"a.{k}").alias(k) for k in keys],
-            *[c for c in out.columns if c not in keys],
-            *[f"q{i}" for i in range(len(probs))],
-        )
-    )
 
 
 def direct_stats(df: DataFrame, keys: list[str], value: Column, probs: list[float]) -> DataFrame:

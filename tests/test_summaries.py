@@ -55,6 +55,21 @@ def test_quantiles_match_numpy(spark):
         assert math.isclose(got["hot", j]["sd"], x.std(ddof=1), rel_tol=1e-7)
 
 
+def test_narrowing_rounds(spark):
+    """Bins with too many values are split again and again; the answer stays exact."""
+    rng = random.Random(9)
+    rows = [("hot", rng.gauss(0, 1) ** 5) for _ in range(9000)] + [("tiny", float(i)) for i in range(5)]
+    vals = q.count_values(spark.createDataFrame(rows, "k string, x double"), ["k"], F.col("x"))
+    spark.conf.set(q.TASK_VALUES_CONF, "3")
+    try:
+        got = by_key(q.spread_stats(vals, ["k"], PROBS), ("k",))
+    finally:
+        spark.conf.unset(q.TASK_VALUES_CONF)
+    for k in ("hot", "tiny"):
+        want = np.quantile([v for g, v in rows if g == k], PROBS)
+        assert np.allclose([got[(k,)][f"q{i}"] for i in range(len(PROBS))], want, rtol=1e-12)
+
+
 def test_size_check_chooses_the_path(spark, ts, spread):
     assert not q.fits_one_task(ts)
     wide = sm.summarise(ts, ["scenario"], "F_5", {"m": "median", "s": "sum", "n": "n"})
