@@ -44,17 +44,15 @@ def safe_ratio(num: Column, den: Column, both_zero: float | None = None,
     used as the denominator in place of the zero.
     """
     if den_zero == "inf":
-        over_zero = F.when(num > 0, F.lit(INF)).otherwise(F.lit(-INF))
+        over_zero = num * F.lit(INF)
     elif den_zero == "null":
         over_zero = null_double()
     else:
         over_zero = num / F.lit(float(den_zero))
-    return (
-        F.when(num.isNull() | den.isNull(), null_double())
-        .when((num == 0) & (den == 0), F.lit(both_zero).cast("double"))
-        .when(den == 0, over_zero)
-        .otherwise(nan_to_null(F.try_divide(num, den)))
-    )
+    # short on purpose: dozens of these share one generated method, which the JVM only
+    # compiles while it is small
+    zero = F.when(den == 0, F.when(num == 0, F.lit(both_zero).cast("double")).otherwise(over_zero))
+    return nan_to_null(F.coalesce(F.try_divide(num, den), zero))
 
 
 def strict(agg: Column, col: Column) -> Column:
@@ -63,8 +61,13 @@ def strict(agg: Column, col: Column) -> Column:
 
 
 def label_year(model_run: Column) -> Column:
-    """Trailing four digits of a run name as INT, NULL when there are none."""
-    return F.regexp_substr(model_run, F.lit(r"\d{4}$")).cast("int")
+    """Trailing four digits of a run name as INT, NULL when there are none.
+
+    No regular expression: the filter on it runs once per row of a scan.
+    """
+    tail = F.right(model_run, F.lit(4))
+    digits = F.translate(tail, "0123456789", "")
+    return F.when((F.length(tail) == 4) & (digits == ""), tail.cast("int"))
 
 
 def role(model_run: Column) -> Column:

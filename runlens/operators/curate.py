@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions import names
 from runlens.functions.semantics import label_year, role
+from runlens.sources.literals import literal_table
 from runlens.sources.summary import Summary
 
 
@@ -27,10 +26,8 @@ def scenario_dim(spark: SparkSession, groups: dict[str, list[str]] | None = None
     """(scenario, ordinal, group) in display order."""
     groups = scenario_groups() if groups is None else groups
     flat = [(s, g) for g, members in groups.items() for s in members]
-    rows = [{"scenario": s, "ordinal": i, "group": g} for i, (s, g) in enumerate(flat, start=1)]
-    # a literal keeps the size known to the planner, which broadcasts by it
-    schema = "array<struct<scenario: string, ordinal: int, group: string>>"
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
+    rows = [(s, i, g) for i, (s, g) in enumerate(flat, start=1)]
+    return literal_table(spark, ["scenario", "ordinal", "group"], rows)
 
 
 def usable(model_run: Column) -> Column:

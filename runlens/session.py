@@ -1,13 +1,28 @@
-"""A local session for tests and the bench; a cluster brings its own."""
+"""A local session for tests and the bench; a cluster brings its own.
+
+`ENGINE_CONF` is worth setting on a cluster too.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+ENGINE_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the JVM never compiles methods above 8000 bytes: fall back to split expressions
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # quantile aggregates keep hashing with this many groups per task before they sort
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+}
+
 
 def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
+    builder = SparkSession.builder
+    for key, value in ENGINE_CONF.items():
+        builder = builder.config(key, value)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("runlens")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")

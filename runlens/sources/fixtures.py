@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlens.sources.literals import literal_table
 from runlens.sources.summary import Summary
 
 # The panel's scenario names by l_partkey % 8.
@@ -38,9 +39,12 @@ def _total(units: str, fleet: int | None = None) -> str:
     return f"sum({picked}) / {UNIT}D"
 
 
-def _name(names: list[str], code: str) -> str:
-    whens = " ".join(f"when {i} then '{n}'" for i, n in enumerate(names))
-    return f"case {code} {whens} end"
+def _named(df: DataFrame, code: str, names: list[str], column: str) -> DataFrame:
+    """Add the names of a code. As a join with a tiny dimension, a filter on names is
+    evaluated once per name; an expression would be inlined into it again and again.
+    """
+    dim = literal_table(df.sparkSession, [code, column], list(enumerate(names)))
+    return df.join(dim, code)
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,12 +89,8 @@ def _panel(df: DataFrame, keys: list[str], aggs: list[str], run: str = "model_ru
     """
     out = _agg(df, ["scenario_code", "run_code", *keys], aggs)
     measures = [f"`{c}`" for c in out.columns if c not in ("scenario_code", "run_code", *keys)]
-    return out.selectExpr(
-        f"{_name(PANEL_SCENARIOS, 'scenario_code')} as scenario",
-        *keys,
-        f"{_name(RUNS, 'run_code')} as {run}",
-        *measures,
-    )
+    named = _named(out, "scenario_code", PANEL_SCENARIOS, "scenario")
+    return _named(named, "run_code", RUNS, run).selectExpr("scenario", *keys, run, *measures)
 
 
 def ts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +175,7 @@ def at_age(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cpue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed and expected abundance indices."""
     rows = table(spark, sf_dir, "events").selectExpr(
-        f"{_name(INDEX_SCENARIOS, f'user_id % {len(INDEX_SCENARIOS)}')} as scenario",
+        f"cast(user_id % {len(INDEX_SCENARIOS)} as int) as scenario_code",
         "cast(user_id % 10 as int) as iteration",
         "if(event_id % 2 = 0, 'OM', 'EM') as model",
         "event_type as fleet_name",
@@ -183,11 +183,12 @@ def cpue(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{_units('value')} as value",
         "cast(get_json_object(props, '$.k') as bigint) as k",
     )
-    return _agg(
+    out = _agg(
         rows,
-        ["scenario", "iteration", "model", "fleet_name", "yr"],
+        ["scenario_code", "iteration", "model", "fleet_name", "yr"],
         [f"{_total('value')} as obs", "cast(sum(k) as double) as exp"],
     )
+    return _named(out, "scenario_code", INDEX_SCENARIOS, "scenario").drop("scenario_code")
 
 
 def plan_catch(spark: SparkSession, sf_dir: str) -> DataFrame:
