@@ -729,6 +729,10 @@ BODIES = {
     f"round({_q_any('Value_F', 0.25)}, 4) AS lower_quartile, round({_q_any('Value_F', 0.75)}, 4) AS upper_quartile "
     "FROM ratio_dq WHERE year >= 1996 AND label = 2001 GROUP BY 1, 2",
     "terminal_ribbon_f": _terminal(FLEET_F, "F_3"),
+    "terminal_ribbon_event_f": _terminal(["F_5"]),
+    "ratio_all_unfloored": f"SELECT {KL}, "
+    + ", ".join(f"round({_ratio(f'{m}_em', f'{m}_om', '1.0')}, 6) AS {m}" for m in [*FLEET_F, *BIOMASS])
+    + " FROM pair_ts",
     "terminal_ribbon_biomass": _terminal(BIOMASS, "retainB_3"),
     "terminal_ribbon_recruit_ssb": _terminal(["Recruit_0", "SpawnBio"]),
     "level_ribbon": f"SELECT scenario, year, variable, round({_q('value', 0.5)}, 6) AS median_value, "

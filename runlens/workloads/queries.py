@@ -556,6 +556,16 @@ def terminal_ribbon_f(spark, d):
     return _terminal_ribbon(_closed_fleet_is_one(long, "F_3"))
 
 
+@query
+def terminal_ribbon_event_f(spark, d):
+    return _terminal_ribbon(_ratio_long(_ts(spark, d), ["F_5"], None))
+
+
+@query
+def ratio_all_unfloored(spark, d):
+    return rounded(cmp.ratio_all(_ts(spark, d), _cols([*FLEET_F, *BIOMASS]), den_zero="inf"))
+
+
 @query
 def terminal_ribbon_biomass(spark, d):
     long = _ratio_long(_ts(spark, d), BIOMASS, None)
