@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: bytes between words: space and 0x09-0x0D
 BLANKS = np.zeros(256, bool)
@@ -107,7 +108,7 @@ def split_words(
 def pieces(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `limit` bytes of text each; one long text is one slice."""
     column = batch.column(batch.schema.get_field_index(text))
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
     group = np.cumsum(sizes) // limit
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
     for a, b in zip(cuts, cuts[1:], strict=False):
