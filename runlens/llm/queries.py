@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import personal
+from runlens.llm import language, personal, quality
 from runlens.llm.tables import table
 
 
@@ -23,8 +23,32 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _remainder(n: int) -> str:
+    return f"crc32(cast(doc_id as string)) % {n}"
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = f"{_remainder(3)} = 1"
+    return language.identify(docs, docs.where(f"not ({held_out})")).selectExpr(
+        "doc_id", f"{held_out} as held_out", "lang_pred", "score"
+    )
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = f"{_remainder(4)} = 2"
+    scored = quality.classify(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), f"not ({held_out})"
+    )
+    return scored.selectExpr(
+        "doc_id", f"{held_out} as held_out", "score", "cast(score >= 0.7 as int) as predicted"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_quality": op5_quality,
     "op6_personal_data": op6_personal_data,
+    "op8_language": op8_language,
 }
 
 ORACLE: dict[str, str] = {}
