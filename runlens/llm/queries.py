@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import language, personal, quality
+from runlens.llm import language, personal, quality, substrings
 from runlens.llm.tables import table
 
 
@@ -45,10 +45,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeated(table(spark, sf_dir, "documents")).selectExpr(
+        "doc_id", "n_words", "n_removed", "sha2(kept, 256) as kept_sha256"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_personal_data": op6_personal_data,
     "op8_language": op8_language,
+    "op9_substrings": op9_substrings,
 }
 
 ORACLE: dict[str, str] = {}

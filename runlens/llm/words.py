@@ -132,3 +132,11 @@ def runs(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.
     np.cumsum(hashes * _powers(n)[:n], out=sums[1:])
     total = (sums[starts + k] - sums[starts]) * _inverses(n)[starts]
     return mix(total), text[starts], starts - first[text[starts]]
+
+
+def second_hash(hashes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """31 more bits of the k words from every start (positions in `hashes`), not derived from `runs`."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix(hashes ^ np.uint64(0xC2B2AE3D27D4EB4F)) * _powers(len(hashes) or 1)[: len(hashes)], out=sums[1:])
+    total = (sums[starts + k] - sums[starts]) * _inverses(len(hashes) or 1)[starts]
+    return (mix(total) >> np.uint64(33)).astype(np.int32)
