@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import language, personal, quality, substrings
+from runlens.llm import language, ngram_join, personal, quality, substrings
 from runlens.llm.tables import table
 
 
@@ -51,7 +51,12 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_join": op2_ngram_join,
     "op5_quality": op5_quality,
     "op6_personal_data": op6_personal_data,
     "op8_language": op8_language,
