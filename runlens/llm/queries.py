@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import language, ngram_join, personal, quality, substrings
-from runlens.llm.tables import table
+from runlens.llm import language, ngram_join, personal, quality, substrings, toxicity
+from runlens.llm.tables import stored, table
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +55,19 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), f"{_remainder(5)} = 0"
+    known = table(spark, sf_dir, "labels").where(f"toxic is not null and not ({held_out})").selectExpr("doc_id", "toxic as y")
+    # the labelled texts, moved once and read in several passes
+    rows = stored(docs.join(known, "doc_id").where("text is not null").select("text", "y"), "toxicity-rows")
+    return toxicity.detect(docs, toxicity.train(rows)).selectExpr(
+        "doc_id", f"{held_out} as held_out", "score", "cast(score >= 0.5 as int) as predicted", "spans"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
+    "op3_toxicity": op3_toxicity,
     "op5_quality": op5_quality,
     "op6_personal_data": op6_personal_data,
     "op8_language": op8_language,

@@ -140,3 +140,17 @@ def second_hash(hashes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     np.cumsum(mix(hashes ^ np.uint64(0xC2B2AE3D27D4EB4F)) * _powers(len(hashes) or 1)[: len(hashes)], out=sums[1:])
     total = (sums[starts + k] - sums[starts]) * _inverses(len(hashes) or 1)[starts]
     return (mix(total) >> np.uint64(33)).astype(np.int32)
+
+
+def prefixes(w: Words, sizes: range, fold: np.ndarray = SAME) -> np.ndarray:
+    """Hash of the first k bytes of every word longer than that, for each k in `sizes`; else 0."""
+    total = np.zeros(len(w.start), np.uint64)
+    out = np.zeros((len(w.start), len(sizes)), np.uint64)
+    long = np.arange(len(w.start))
+    for k in range(sizes.stop):
+        if k in sizes:
+            long = long[w.end[long] - w.start[long] > k]
+            out[long, k - sizes.start] = mix(total[long] + np.uint64(k))
+        at = np.minimum(w.start[long] + k, len(w.data) - 1)
+        total[long] += _VALUES[fold[w.data[at]]] * _POWERS[k]
+    return out
