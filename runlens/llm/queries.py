@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import language, ngram_join, personal, quality, substrings, toxicity
+from runlens.llm import language, lines, ngram_join, personal, pieces, quality, substrings, toxicity, vectors
 from runlens.llm.tables import stored, table
 
 
@@ -65,11 +65,35 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.links(table(spark, sf_dir, "embeddings"))
+
+
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).selectExpr(
+        "doc_id",
+        "cast(size(split(text, '\n')) + coalesce(size(removed_lines), 0) as bigint) as n_lines",
+        "cast(coalesce(size(removed_lines), 0) as bigint) as n_removed",
+        "sha2(text, 256) as text_sha256",
+    )
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    done = pieces.encode_texts(docs, pieces.load())
+    return done.selectExpr(
+        "doc_id", "cast(size(ids) as bigint) as n_pieces", "ids", "sha2(decoded, 256) as decoded_sha256"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_vectors": op1_vectors,
     "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
+    "op4_lines": op4_lines,
     "op5_quality": op5_quality,
     "op6_personal_data": op6_personal_data,
+    "op7_pieces": op7_pieces,
     "op8_language": op8_language,
     "op9_substrings": op9_substrings,
 }

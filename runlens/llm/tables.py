@@ -25,11 +25,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: largest side of a join that is broadcast, in rows of a few numbers (some ten bytes each)
+BROADCAST_ROWS = 1_000_000
+
+
+def join_checked(big: DataFrame, small: DataFrame, on: str | list[str]) -> DataFrame:
+    """Inner join that broadcasts `small`, a stored table, if its counted rows are few enough.
+
+    Beyond that both sides are shuffled: the same result in another way.
+    """
+    few = small.count() <= BROADCAST_ROWS
+    return big.join(F.broadcast(small) if few else small, on)
+
+
 def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest id reachable by links, for every id.
 
-    nodes: one column `id`; links: `a`, `b` (either order, repeats allowed, null or
-    unknown ids ignored by the final join). Alternating large-star and small-star steps:
+    nodes: one column `id` of any type that has an order; links: `a`, `b` (either order,
+    repeats allowed, unknown ids ignored by the final join). Alternating large-star and small-star steps:
     every step is a partial minimum and a join on an id, so a hub with a third of all
     links is combined before the shuffle and split by the adaptive join. Each step's
     edges are written to the shared folder. Returns `id`, `component_id`.
@@ -41,7 +54,7 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
     before = None
     for _ in range(rounds):
         # the sum tells whether a step changed anything: stars only ever lower their roots
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum("v")).first()
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if now[0] == 0 or now == before:
             break
         before = now

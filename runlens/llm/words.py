@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: bytes between words: space and 0x09-0x0D
 BLANKS = np.zeros(256, bool)
@@ -105,7 +106,7 @@ def split_words(
     return Words(data, offsets, hashes, start, end, np.searchsorted(start, offsets))
 
 
-def pieces(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `limit` bytes of text each; one long text is one slice."""
     column = batch.column(batch.schema.get_field_index(text))
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
@@ -134,12 +135,15 @@ def runs(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return mix(total), text[starts], starts - first[text[starts]]
 
 
-def second_hash(hashes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-    """31 more bits of the k words from every start (positions in `hashes`), not derived from `runs`."""
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(mix(hashes ^ np.uint64(0xC2B2AE3D27D4EB4F)) * _powers(len(hashes) or 1)[: len(hashes)], out=sums[1:])
-    total = (sums[starts + k] - sums[starts]) * _inverses(len(hashes) or 1)[starts]
-    return (mix(total) >> np.uint64(33)).astype(np.int32)
+def run_hashes(hashes: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits of the k words from every start (positions in `hashes`), and 31 that don't derive from them."""
+    n = len(hashes)
+    out = []
+    for values in (hashes, mix(hashes ^ np.uint64(0xC2B2AE3D27D4EB4F))):
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * _powers(n)[:n], out=sums[1:])
+        out.append(mix((sums[starts + k] - sums[starts]) * _inverses(n)[starts]))
+    return out[0], (out[1] >> np.uint64(33)).astype(np.int32)
 
 
 def prefixes(w: Words, sizes: range, fold: np.ndarray = SAME) -> np.ndarray:
@@ -154,3 +158,74 @@ def prefixes(w: Words, sizes: range, fold: np.ndarray = SAME) -> np.ndarray:
         at = np.minimum(w.start[long] + k, len(w.data) - 1)
         total[long] += _VALUES[fold[w.data[at]]] * _POWERS[k]
     return out
+
+
+def pack_texts(rows: DataFrame) -> DataFrame:
+    """id, text as id, size, packed: texts compressed one by one, for a shuffle that carries them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                texts = [t.encode() if t is not None else None for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0), pa.array([None if t is None else len(t) for t in texts], pa.int64()),
+                        pa.array([t and codec.compress(t, asbytes=True) for t in texts], pa.binary()),
+                    ],
+                    names=["id", "size", "packed"],
+                )
+
+    return rows.select("id", "text").mapInArrow(run, "id bigint, size bigint, packed binary")
+
+
+def unpack_text(size: int | None, packed: bytes | None) -> bytes:
+    """The bytes of a packed text; null is the empty text."""
+    return pa.Codec("zstd", 1).decompress(packed, size, asbytes=True) if packed else b""
+
+
+def small_batches(batch: pa.RecordBatch, sizes: list[str], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch in which the columns `sizes` add up to about `limit`."""
+    total = sum(np.asarray(pc.fill_null(batch.column(c), 0)) for c in sizes)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(total) // limit)) + 1).tolist(), len(batch)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of every range of bytes; the ranges stand side by side and cover `data` from start[0] on."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    place = np.arange(start[0], len(data)) - np.repeat(start, size)
+    terms = _VALUES[data[start[0] :]] * _powers(int(size.max()) + 1)[place]
+    return mix(np.add.reduceat(terms, start - start[0]) + size.astype(np.uint64))
+
+
+def window_grams(hashes: np.ndarray, first: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every window of `size` words inside a text: its first word, and its smallest gram.
+
+    Returns the windows' starts (positions in `hashes`), the positions of the grams and their
+    hashes. A window's gram is the leftmost of those with the smallest hash among its runs of
+    `gram` words: equal windows have equal grams at equal places in them.
+    """
+    n = len(hashes)
+    if n < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    m = n - gram + 1
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * _powers(n)[:n], out=sums[1:])
+    value = mix((sums[gram:] - sums[:m]) * _inverses(n)[:m])
+    at, span, width = np.arange(m), 1, size - gram + 1
+
+    def lesser(shift: int) -> np.ndarray:
+        a, b = at[: len(at) - shift], at[shift:]
+        return np.where(value[b] < value[a], b, a)
+
+    while 2 * span <= width:
+        at, span = lesser(span), 2 * span
+    if span < width:
+        at = lesser(width - span)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    starts = np.flatnonzero(text[: n - size + 1] == text[size - 1 :])
+    return starts, at[starts], value
