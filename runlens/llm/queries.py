@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import language, lines, ngram_join, personal, pieces, quality, substrings, toxicity, vectors
+from runlens.llm import language, leaks, lines, ngram_join, personal, pieces, quality, substrings, toxicity, vectors
 from runlens.llm.tables import stored, table
 
 
@@ -86,6 +86,10 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vectors": op1_vectors,
     "op2_ngram_join": op2_ngram_join,
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pieces": op7_pieces,
     "op8_language": op8_language,
     "op9_substrings": op9_substrings,
+    "op10_leaks": op10_leaks,
 }
 
 ORACLE: dict[str, str] = {}
