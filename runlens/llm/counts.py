@@ -23,7 +23,7 @@ from runlens.llm import words
 #: cells of one transported part
 PART = 1 << 18
 #: hashes a task adds before it hands out what it has
-HELD = 1 << 22
+HELD = 1 << 21
 _TURN = np.uint64(0xD6E8FEB86659FD93)
 
 Hashes = Callable[[pa.RecordBatch], np.ndarray]
@@ -34,6 +34,27 @@ def _codec() -> pa.Codec:
     return pa.Codec("zstd", 1)
 
 
+def _encode(at: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending cells and their counts: gaps as bytes (255 adds up), counts above 1 apart."""
+    gap = np.diff(at, prepend=0)
+    more = gap // 255
+    gaps = np.full(len(gap) + int(more.sum()), 255, np.uint8)
+    gaps[np.cumsum(more + 1) - 1] = gap % 255
+    many = np.flatnonzero(n > 1)
+    body = b"".join([many.astype(np.uint32).tobytes(), np.minimum(n[many], 255).astype(np.uint8).tobytes(), gaps.tobytes()])
+    return np.array([len(many), len(body)], np.uint32).tobytes() + _codec().compress(body, asbytes=True)
+
+
+def _decode(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    many, size = np.frombuffer(blob[:8], np.uint32).tolist()
+    body = _codec().decompress(blob[8:], size, asbytes=True)
+    gaps = np.frombuffer(body, np.uint8, offset=5 * many)
+    at = np.cumsum(gaps, dtype=np.int64)[gaps < 255]
+    n = np.ones(len(at), np.uint8)
+    n[np.frombuffer(body, np.uint32, many)] = np.frombuffer(body, np.uint8, many, 4 * many)
+    return at, n
+
+
 def cells_for(hashes: int, most: int) -> int:
     """Power of two of at least four cells per hash, PART to `most`."""
     return int(min(most, max(PART, 1 << (4 * max(hashes, 1) - 1).bit_length())))
@@ -63,16 +84,18 @@ def sketch(docs: DataFrame, hashes: Hashes, depth: int, cells: int, pack: Callab
     def local(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         value = np.concatenate(held)
         for row in range(depth):
-            at, n = np.unique(cell(value, row, cells), return_counts=True)
-            cuts = np.searchsorted(at, np.arange(per_row + 1) * PART)
+            at = cell(value, row, cells).astype(np.uint32)  # cells are 2**32 at most
+            at.sort()
+            first = np.flatnonzero(np.diff(at, prepend=at[:1] + np.uint32(1)))
+            n = np.diff(np.append(first, len(at)))
+            at = at[first]
+            cuts = np.searchsorted(at, (np.arange(per_row + 1) * PART).astype(np.uint64))
             ids, blobs = [], []
             for k in range(per_row):
                 a, b = cuts[k], cuts[k + 1]
                 if b > a:
-                    dense = np.zeros(PART, np.uint8)
-                    dense[at[a:b] - k * PART] = np.minimum(n[a:b], 255)
                     ids.append(row * per_row + k)
-                    blobs.append(_codec().compress(dense, asbytes=True))
+                    blobs.append(_encode(at[a:b].astype(np.int64) - k * PART, n[a:b]))
                 if ids and (k == per_row - 1 or len(ids) == 64):
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "cells"])
                     ids, blobs = [], []
@@ -94,9 +117,9 @@ def sketch(docs: DataFrame, hashes: Hashes, depth: int, cells: int, pack: Callab
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                new = np.frombuffer(_codec().decompress(blob.as_buffer(), PART), np.uint8)
-                old = total.get(k)
-                total[k] = new if old is None else old + np.minimum(new, 255 - old)
+                at, n = _decode(blob.as_py())
+                held = total.setdefault(k, np.zeros(PART, np.uint8))
+                held[at] += np.minimum(n, 255 - held[at])
         for k, v in total.items():
             packed = _codec().compress(pack(v), asbytes=True)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed], pa.binary())], names=["part", "cells"])

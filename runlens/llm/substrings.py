@@ -1,8 +1,10 @@
 """Exact removal of repeated passages, behind a count-min prefilter.
 
-A window is `size` consecutive words of one text. Pass one counts the hashes of all windows in
-a sketch merged from one sketch per task (see `counts`); estimates are never too low. Pass two
-keeps the windows whose estimate is 2 or more. A task settles repeats among its own windows at
+A window is `size` consecutive words of one text. It is counted by its smallest gram, the run of
+2/5 of its words with the smallest hash: equal windows have equal grams at different places, and
+neighbouring windows mostly share one, so a seventh of the grams stands for all windows. Pass
+one counts these grams in a sketch merged from one sketch per task (see `counts`); the estimate
+of a window is never too low. Pass two keeps the windows whose estimate is 2 or more. A task settles repeats among its own windows at
 once (all but its first are removed, sent as runs) and sends on only its first occurrence of a
 window, so a passage in a third of all texts is at most one row a task. What is sent is grouped
 exactly by 95 bits of hash; all but the first by (id, place) are removed. The rows of the
@@ -35,9 +37,16 @@ def _split(batch: pa.RecordBatch) -> words.Words:
     return words.split_words(*words.buffers(batch.column(batch.schema.get_field_index("text"))))
 
 
-def _hashes(batch: pa.RecordBatch, size: int) -> np.ndarray:
+def _gram(size: int) -> int:
+    """Words of the grams that stand for windows in the sketch: about a seventh of all grams do."""
+    return max(1, 2 * size // 5)
+
+
+def _grams(batch: pa.RecordBatch, size: int) -> np.ndarray:
+    """Hashes of the grams that stand for the windows of a batch, once for every place."""
     split = _split(batch)
-    return words.runs(split.hashes, split.first, size)[0]
+    _, at, value = words.window_grams(split.hashes, split.first, size, _gram(size))
+    return value[np.unique(at)]
 
 
 def _spans(places: np.ndarray) -> np.ndarray:
@@ -50,8 +59,8 @@ def _spans(places: np.ndarray) -> np.ndarray:
 
 def candidates(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """h, g, id, place: windows that may repeat elsewhere; spans: repeats settled inside a task."""
-    cells = counts.cells_for(counts.words_about(docs, "text"), MOST_CELLS)
-    packed = counts.sketch(docs.select("text"), lambda b: _hashes(b, size), DEPTH, cells, counts.repeated_bits)
+    cells = counts.cells_for(counts.words_about(docs, "text") // (1 + (size - _gram(size)) // 2), MOST_CELLS)
+    packed = counts.sketch(docs.select("text"), lambda b: _grams(b, size), DEPTH, cells, counts.repeated_bits)
     shared = docs.sparkSession.sparkContext.broadcast(packed)
 
     def settle(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
@@ -90,12 +99,14 @@ def candidates(docs: DataFrame, size: int = SIZE) -> DataFrame:
         for batch in batches:
             for part in words.pieces(batch, "text"):
                 split = _split(part)
-                h, text, place = words.runs(split.hashes, split.first, size)
-                some = counts.maybe_repeated(shared.value, h, cells)
+                starts, at, value = words.window_grams(split.hashes, split.first, size, _gram(size))
+                places, which = np.unique(at, return_inverse=True)
+                starts = starts[counts.maybe_repeated(shared.value, value[places], cells)[which]]
+                text = np.searchsorted(split.first, starts, "right") - 1
                 ids = np.asarray(part.column(0).fill_null(_NULL_ID), np.int64)
-                h, text, place = h[some], text[some], place[some]
-                held.append((h, words.second_hash(split.hashes, split.first[text] + place, size), ids[text], place))
-                n += int(some.sum())
+                h, g = words.run_hashes(split.hashes, starts, size)
+                held.append((h, g, ids[text], starts - split.first[text]))
+                n += len(starts)
                 if n >= counts.HELD:
                     yield from settle(held)
                     held, n = [], 0
@@ -121,14 +132,15 @@ def remove_repeated(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", t
     """One row per row of `docs`: id, `n_words`, `n_removed` and `kept`, the words left."""
     rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as id", f"`{text_col}` as text")
     cut = repeated(rows, size).withColumnRenamed("id", "cut_id")
-    both = rows.join(cut, F.expr(f"cut_id = coalesce(id, {_NULL_ID + 1}L - 1)"), "left").select("id", "text", "spans")
+    texts = words.pack_texts(rows)
+    both = texts.join(cut, F.expr(f"cut_id = coalesce(id, {_NULL_ID + 1}L - 1)"), "left").select("id", "size", "packed", "spans")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.pieces(batch, "text"):
+            for part in words.small_batches(batch, ["size"]):
                 total, gone, kept = [], [], []
-                for text, spans in zip(part.column(1), part.column(2), strict=True):
-                    own = text.as_py().encode().split() if text.is_valid else []
+                for size_of, packed, spans in zip(*part.columns[1:], strict=True):
+                    own = words.unpack_text(size_of.as_py(), packed.as_py()).split()
                     total.append(len(own))
                     if spans.is_valid:
                         runs = np.asarray(spans.values).reshape(-1, 2)
