@@ -12,24 +12,26 @@ from runlens.llm.tables import components, stored
 Verify = Callable[[DataFrame], DataFrame]
 
 
-def links_through_keys(entries: DataFrame, fits: str, verify: Verify) -> DataFrame:
+def links_through_keys(entries: DataFrame, fits: str, prepare: Callable[[DataFrame], Verify]) -> DataFrame:
     """Pairs (x, y) that connect the same groups as all similar pairs that share a key.
 
     entries: key, s (the entry), and columns that `fits` compares, a condition on the aliases u
-    and v. verify: pairs (x, y) to those that are similar. Every entry of a key is compared with
+    and v. prepare: gets the entries (id) that share a key, and gives a function from pairs (x, y)
+    to those that are similar. Every entry of a key is compared with
     the key's smallest one; linked ones are one group. Only entries of different groups that
     share a key are then compared: of a group of copies, none. Keys are combined by a partial
     minimum and joined, so a frequent key is split like any skewed join.
     """
     ends = entries.groupBy("key").agg(F.min("s").alias("p"), F.max("s").alias("q")).where("p <> q")
-    shared = stored(entries.join(ends.select("key", "p"), "key"), "shared-keys")
-    pivots = shared.where("s = p").dropDuplicates(["key"])
+    shared = stored(entries.join(ends.select("key", "p"), "key").dropDuplicates(["key", "s"]), "shared-keys")
+    nodes = stored(shared.select(F.col("s").alias("id")).distinct(), "shared-nodes")
+    verify = prepare(nodes)
+    pivots = shared.where("s = p")
     star = shared.where("s <> p").alias("u").join(pivots.alias("v"), "key").where(fits)
     near = stored(verify(star.selectExpr("v.s as x", "u.s as y").distinct()), "links")
-    nodes = shared.select(F.col("s").alias("id")).distinct()
     groups = components(nodes, near.selectExpr("x as a", "y as b")).selectExpr("id as s", "component_id as c")
     known = shared.join(groups, "s")
-    roots = known.where("s = p").selectExpr("key", "c as r").dropDuplicates(["key"])
+    roots = known.where("s = p").selectExpr("key", "c as r")
     placed = stored(known.join(roots, "key"), "placed-keys")
     far = (
         placed.where("c <> r").alias("u").join(placed.where("s <> p").alias("v"), "key")

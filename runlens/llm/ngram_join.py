@@ -14,7 +14,8 @@ the most tokens of n that the other document may lack:
   neighbouring pair only. They stand within the first d + 2 + e - r frequent tokens. Pairs of
   neighbours in this longer prefix are the indexed 2-token combinations.
 
-So nothing is lost, and the index is linear in the text. Documents with the same set are one
+So nothing is lost, and the index is linear in the text. With a key goes the most that can be
+shared from it on, and pairs are compared only where that suffices: they do at their first key. Documents with the same set are one
 entry. Every entry of a key is verified against the key's smallest entry; linked ones are one
 group. Only entries of different groups that share a key are then verified with each other, so
 a group of copies costs links in proportion to its members. Verification compares whole sets.
@@ -25,7 +26,7 @@ dropped with its row. Rows that share an id are taken for copies of one row: one
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm import counts, words
+from runlens.llm.keyed import links_through_keys
 from runlens.llm.tables import components, stored
 
 SIZE = 5
@@ -77,7 +79,7 @@ def class_of(packed: np.ndarray, hashes: np.ndarray, cells: int) -> np.ndarray:
 
 
 def keys(owner: np.ndarray, hashes: np.ndarray, n: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Index keys of all sets: key, owner, and the number of tokens that can be shared by it."""
+    """Index keys of all sets: key, owner, and the most tokens shared if it is the first shared one."""
     order = np.lexsort((hashes, kind, owner))
     owner, hashes, kind = owner[order], hashes[order], kind[order]
     first = np.cumsum(n) - n
@@ -94,7 +96,7 @@ def keys(owner: np.ndarray, hashes: np.ndarray, n: np.ndarray, kind: np.ndarray)
     return (
         np.concatenate([hashes[alone], joint]),
         np.concatenate([owner[alone], owner[pair]]),
-        np.concatenate([size[alone], frequent[owner[pair]]]),
+        np.concatenate([(size - rank)[alone], frequent[owner[pair]]]),
     )
 
 
@@ -136,34 +138,35 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Pairs (a, b) of ids whose sets are similar. texts: id, text."""
+    """Pairs (a, b) of ids whose sets are similar. texts: id, size, packed."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
 
-        def set_of(key: int, text: pa.Scalar) -> np.ndarray:
+        def set_of(key: int, size_of: int, packed: pa.Scalar) -> np.ndarray:
             if key not in known:
                 if len(known) >= 16:
                     known.clear()
-                known[key] = shingles(pa.array([text.as_py()], pa.string()), size)[1]
+                known[key] = shingles(pa.array([words.unpack_text(size_of, packed.as_py()).decode()], pa.string()), size)[1]
             return known[key]
 
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            a, b, size_a, size_b = (c.to_pylist() for c in batch.columns[:4])
             held = [
-                i for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True))
-                if similar(set_of(a[i], x), set_of(b[i], y))
+                i for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True))
+                if similar(set_of(a[i], size_a[i], x), set_of(b[i], size_b[i], y))
             ]
             at = pa.array(held, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
-    left = texts.selectExpr("id as a", "text as text_a")
-    right = texts.selectExpr("id as b", "text as text_b")
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    left = texts.selectExpr("id as a", "size as size_a", "packed as packed_a")
+    right = texts.selectExpr("id as b", "size as size_b", "packed as packed_b")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "size_a", "size_b", "packed_a", "packed_b")
     return both.mapInArrow(check, "a bigint, b bigint")
 
 
-_FITS = "5 * least({0}.n, {1}.n) >= 4 * greatest({0}.n, {1}.n) and 9 * least({0}.f, {1}.f) >= 4 * ({0}.n + {1}.n)"
+#: by size, and by what can be shared from the first shared key on: no similar pair fails it there
+FITS = "5 * least(u.n, v.n) >= 4 * greatest(u.n, v.n) and 9 * least(u.f, v.f) >= 4 * (u.n + v.n)"
 
 
 def groups(
@@ -176,33 +179,23 @@ def groups(
     entries = found.where("key is not null").select("key", "s", "n", "f")
     # one representative for equal sets
     first = stored(sets.where("n > 0").groupBy("s", "t", "n").agg(F.min("id").alias("rep")), "ngram-sets")
-    pivots = entries.groupBy("key").agg(F.min("s").alias("p"), F.max("s").alias("q")).where("p <> q").select("key", "p")
-    shared = stored(entries.join(pivots, "key").distinct(), "ngram-shared")
     reps = first.select("s", "rep")
-    active = shared.select("s").distinct().join(reps, "s").select(F.col("rep").alias("id"))
-    texts = stored(rows.join(active, "id"), "ngram-texts")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        """Similar pairs of representatives, from pairs (x, y) of set hashes."""
-        ids = pairs.join(reps.selectExpr("s as x", "rep as a"), "x").join(reps.selectExpr("s as y", "rep as b"), "y")
-        return stored(verified(ids.select("a", "b"), texts, size), "ngram-links")
-
-    own = shared.where("s = p").selectExpr("key", "n as pn", "f as pf")
-    star = (
-        shared.where("s <> p").join(own, "key")
-        .where("5 * least(n, pn) >= 4 * greatest(n, pn) and 9 * least(f, pf) >= 4 * (n + pn)")
-        .selectExpr("p as x", "s as y").distinct()
-    )
-    near = links(star)
-    nodes = active.join(first.selectExpr("rep as id", "s"), "id")
-    grouped = components(active, near).join(nodes, "id").selectExpr("s", "component_id as c")
-    known = shared.join(grouped, "s")
-    of_pivot = known.where("s = p").selectExpr("key", "c as pc")
-    placed = stored(known.join(of_pivot, "key"), "ngram-placed")
-    out = placed.where("c <> pc").alias("u").join(placed.where("s <> p").alias("v"), "key").where(
-        "u.c <> v.c and (v.c = v.pc or u.s < v.s) and " + _FITS.format("u", "v")
-    )
-    far = links(out.selectExpr("u.s as x", "v.s as y").where("x <> y").selectExpr("least(x, y) as x", "greatest(x, y) as y").distinct())
+
+    def prepare(nodes: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        active = nodes.withColumnRenamed("id", "s").join(reps, "s").select(F.col("rep").alias("id"))
+        texts = stored(words.pack_texts(rows).join(active, "id"), "ngram-texts")
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            """Similar ones of pairs (x, y) of set hashes."""
+            ids = pairs.join(reps.selectExpr("s as x", "rep as a"), "x").join(reps.selectExpr("s as y", "rep as b"), "y")
+            near = verified(ids.select("a", "b"), texts, size)
+            back = near.join(reps.selectExpr("s as x", "rep as a"), "a").join(reps.selectExpr("s as y", "rep as b"), "b")
+            return back.select("x", "y")
+
+        return verify
+
+    linked = links_through_keys(entries, FITS, prepare)
+    links = linked.join(reps.selectExpr("s as x", "rep as a"), "x").join(reps.selectExpr("s as y", "rep as b"), "y")
     same = sets.join(first, ["s", "t", "n"]).selectExpr("id as a", "rep as b")
-    joined = components(sets.select("id"), same.unionByName(near).unionByName(far))
+    joined = components(sets.select("id"), same.unionByName(links.select("a", "b")))
     return sets.join(joined, "id").selectExpr(f"id as `{id_col}`", "n as n_shingles", "component_id")
