@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what Python workers hold of long texts: rows and bytes of an Arrow batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
