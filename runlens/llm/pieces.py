@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from runlens.llm import words
 
@@ -332,3 +333,26 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id"
     rows = docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text")
     out = rows.mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)
+
+
+def add_pieces(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
+    """`docs` with the ids of every text in `ids_col`, and the text that they give back in `text_col`."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shared.value)
+        for batch in batches:
+            for part in words.pieces(batch, text_col):
+                texts = part.column(place).to_pylist()
+                ids, ends = encoder.encode(texts)
+                back = [
+                    None if t is None else b.decode(errors="replace")
+                    for t, b in zip(texts, decode(ids, ends, shared.value), strict=True)
+                ]
+                at = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.array([*(t is None for t in texts), False]))
+                columns = [*part.columns, pa.ListArray.from_arrays(at, pa.array(ids))]
+                columns[place] = pa.array(back, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, ids_col])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType()))]))

@@ -235,15 +235,34 @@ def score(stats: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     )
 
 
+def train_on(
+    docs: DataFrame, labels: DataFrame, train_where: str = "true", id_col: str = "doc_id", text_col: str = "text",
+    stats: DataFrame | None = None,
+) -> Model:
+    """A model from the statistics of `docs` and the labels (id, `quality`) that meet `train_where`."""
+    if stats is None:
+        stats = stored(statistics(docs, id_col, text_col), "statistics")
+    known = labels.where(train_where).where("quality is not null").selectExpr(f"`{id_col}`", "quality as y")
+    fold = f"cast(crc32(concat('fold', cast(`{id_col}` as string))) % {FOLDS} as int)"
+    return train(stats, stats.join(known, id_col).selectExpr("x", "y", f"{fold} as fold"))
+
+
 def classify(
     docs: DataFrame, labels: DataFrame, train_where: str = "true", id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Id and `score` for every row of `docs`.
-
-    labels: the id and `quality`; `train_where`: a condition on the id that says which labels
-    may be learned from.
-    """
+    """Id and `score` for every row of `docs`."""
     stats = stored(statistics(docs, id_col, text_col), "statistics")
-    known = labels.where(train_where).where("quality is not null").selectExpr(f"`{id_col}`", "quality as y")
-    fold = f"cast(crc32(concat('fold', cast(`{id_col}` as string))) % {FOLDS} as int)"
-    return score(stats, train(stats, stats.join(known, id_col).selectExpr("x", "y", f"{fold} as fold")), id_col)
+    return score(stats, train_on(docs, labels, train_where, id_col, text_col, stats), id_col)
+
+
+def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose score is `least` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in words.pieces(batch, text_col, 2 << 20):
+                yield part.filter(pa.array(shared.value.score(measure(part.column(place))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
