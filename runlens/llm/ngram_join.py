@@ -174,7 +174,7 @@ def groups(
 ) -> DataFrame:
     """One row per id: `n_shingles` and `component_id`, the smallest id reachable by links."""
     rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as id", f"`{text_col}` as text").where("id is not null")
-    found = stored(index(rows, size, frequent), "ngram-index")
+    found = stored(index(rows, size, frequent), "ngram-index", wide=True)
     sets = found.where("key is null").select("id", "s", "t", "n").dropDuplicates(["id"])
     entries = found.where("key is not null").select("key", "s", "n", "f")
     # one representative for equal sets
@@ -183,7 +183,7 @@ def groups(
 
     def prepare(nodes: DataFrame) -> Callable[[DataFrame], DataFrame]:
         active = nodes.withColumnRenamed("id", "s").join(reps, "s").select(F.col("rep").alias("id"))
-        texts = stored(words.pack_texts(rows).join(active, "id"), "ngram-texts")
+        texts = stored(words.pack_texts(rows).join(active, "id"), "ngram-texts", wide=True)
 
         def verify(pairs: DataFrame) -> DataFrame:
             """Similar ones of pairs (x, y) of set hashes."""

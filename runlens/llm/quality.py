@@ -241,7 +241,7 @@ def train_on(
 ) -> Model:
     """A model from the statistics of `docs` and the labels (id, `quality`) that meet `train_where`."""
     if stats is None:
-        stats = stored(statistics(docs, id_col, text_col), "statistics")
+        stats = stored(statistics(docs, id_col, text_col), "statistics", wide=True)
     known = labels.where(train_where).where("quality is not null").selectExpr(f"`{id_col}`", "quality as y")
     fold = f"cast(crc32(concat('fold', cast(`{id_col}` as string))) % {FOLDS} as int)"
     return train(stats, stats.join(known, id_col).selectExpr("x", "y", f"{fold} as fold"))
@@ -251,7 +251,7 @@ def classify(
     docs: DataFrame, labels: DataFrame, train_where: str = "true", id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Id and `score` for every row of `docs`."""
-    stats = stored(statistics(docs, id_col, text_col), "statistics")
+    stats = stored(statistics(docs, id_col, text_col), "statistics", wide=True)
     return score(stats, train_on(docs, labels, train_where, id_col, text_col, stats), id_col)
 
 

@@ -59,7 +59,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), f"{_remainder(5)} = 0"
     known = table(spark, sf_dir, "labels").where(f"toxic is not null and not ({held_out})").selectExpr("doc_id", "toxic as y")
     # the labelled texts, moved once and read in several passes
-    rows = stored(docs.join(known, "doc_id").where("text is not null").select("text", "y"), "toxicity-rows")
+    rows = stored(docs.join(known, "doc_id").where("text is not null").select("text", "y"), "toxicity-rows", wide=True)
     return toxicity.detect(docs, toxicity.train(rows)).selectExpr(
         "doc_id", f"{held_out} as held_out", "score", "cast(score >= 0.5 as int) as predicted", "spans"
     )

@@ -25,11 +25,17 @@ def scratch_root(spark: SparkSession) -> str:
     return (root or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch").rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: survives lost executors, cuts lineage."""
-    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
+    """Write once to the shared folder and read back: survives lost executors, cuts lineage.
+
+    Two tasks a core write it, so that files stay few however many shuffle partitions there are;
+    `wide` keeps one task a partition, for tables of whole texts.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    few = df if wide else df.coalesce(2 * max(4, spark.sparkContext.defaultParallelism))
+    few.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: largest side of a join that is broadcast, in rows of a few numbers (some ten bytes each)
