@@ -17,6 +17,7 @@ from runlens.functions.semantics import (
     safe_ratio,
 )
 from runlens.operators.derive import to_long
+from runlens.sources.scratch import stored
 
 Metrics = dict[str, Column]
 
@@ -43,50 +44,59 @@ def all_metrics(df: DataFrame) -> Metrics:
     return {c: F.col(c) for c in metric_columns(df)}
 
 
+_REPEATED = "more than one truth or estimate row for a scenario, iteration and year"
+
+
 def pair(df: DataFrame, metrics: Metrics, label: int | None = None) -> DataFrame:
     """Estimates with the truth of the same scenario, iteration and year.
 
     Returns the keys, model_run, label and `<metric>_em`, `<metric>_om`; an estimate
     without a truth keeps NULL there.
 
-    One label year: each key holds at most one truth and one estimate, so both are
-    picked by one aggregation: one scan, one shuffle of the derived metrics, partial
-    results combined before it. A second row for a side is an error, not a guess.
-    All labels: the unique truth is joined to every estimate. Both sides carry only
-    the derived metrics, and adaptive execution splits a skewed estimate side.
+    Each key holds at most one truth, and one estimate of each run, so both sides are
+    picked by one aggregation: one scan and one shuffle of the derived metrics. For one
+    label year partial results are combined before the shuffle; for all labels a key's
+    estimates are an array, as long as a run has label years. A second row for a side is an
+    error, not a guess: every returned value depends on the check.
     """
     kind = role(F.col("model_run"))
     cols = [c.cast("double").alias(m) for m, c in metrics.items()]
     keys = [*YEAR_KEYS, "model_run", "label"]
+    values = [f"{m}_{side}" for m in metrics for side in ("em", "om")]
+    is_em, is_om = F.col("role") == "EM", F.col("role") == "OM"
+    estimate = kind == "EM" if label is None else (kind == "EM") & (F.col("label") == label)
+    sides = df.where((kind == "OM") | estimate).select(*keys, kind.alias("role"), *cols)
+
+    def checked(ok: Column, value: Column) -> Column:
+        return F.when(ok, value).otherwise(F.raise_error(F.lit(_REPEATED)))
+
+    truth = [F.max(F.when(is_om, F.col(m))).alias(f"{m}_om") for m in metrics]
     if label is None:
-        em = df.where(kind == "EM").select(*keys, *cols).withColumnsRenamed(
-            {m: f"{m}_em" for m in metrics}
+        row = F.struct("model_run", "label", *[F.col(m).alias(f"{m}_em") for m in metrics])
+        grouped = sides.groupBy(*YEAR_KEYS).agg(
+            F.collect_list(F.when(is_em, row)).alias("rows"), F.count_if(is_om).alias("n_om"), *truth
         )
-        om = df.where(kind == "OM").select(*YEAR_KEYS, *cols).withColumnsRenamed(
-            {m: f"{m}_om" for m in metrics}
-        )
-        return em.join(om, YEAR_KEYS, "left")
+        runs = F.transform("rows", lambda r: F.coalesce(r["model_run"], F.lit("")))
+        ok = (F.col("n_om") <= 1) & (F.size(F.array_distinct(runs)) == F.size("rows"))
+        # all rows come out of the checked array: no later pruning can skip it
+        return grouped.select(
+            *YEAR_KEYS, *[f"{m}_om" for m in metrics], F.inline(checked(ok, F.col("rows")))
+        ).select(*keys, *values)
 
-    sides = df.where((kind == "OM") | ((kind == "EM") & (F.col("label") == label))).select(
-        *YEAR_KEYS, "model_run", kind.alias("role"), *cols
-    )
-    is_em, is_om = F.col("role") == "EM", F.col("role") == "OM"
     picked = [F.max(F.when(is_em, F.col(m))).alias(f"{m}_em") for m in metrics]
-    picked += [F.max(F.when(is_om, F.col(m))).alias(f"{m}_om") for m in metrics]
     paired = sides.groupBy(*YEAR_KEYS).agg(
         F.max(F.when(is_em, F.col("model_run"))).alias("model_run"),
         F.count_if(is_em).alias("n_em"),
         F.count_if(is_om).alias("n_om"),
         *picked,
+        *truth,
     )
-    unique = F.when(
-        (F.col("n_em") > 1) | (F.col("n_om") > 1),
-        F.raise_error(F.lit("more than one truth or estimate row for a scenario, iteration and year")),
-    ).otherwise(F.lit(label))
-    return (
-        paired.where(F.col("n_em") > 0)
-        .withColumn("label", unique.cast("int"))
-        .select(*keys, *[f"{m}_{side}" for m in metrics for side in ("em", "om")])
+    ok = (F.col("n_em") <= 1) & (F.col("n_om") <= 1)
+    return paired.where(F.col("n_em") > 0).select(
+        *YEAR_KEYS,
+        checked(ok, F.col("model_run")).alias("model_run"),
+        checked(ok, F.lit(label)).cast("int").alias("label"),
+        *[checked(ok, F.col(v)).alias(v) for v in values],
     )
 
 
@@ -144,7 +154,11 @@ def ratio_all_long(df: DataFrame, metrics: Metrics | None = None) -> DataFrame:
 
 
 def error_vs_truth_mean(df: DataFrame, metrics: Metrics, null_to: float = 0.0) -> DataFrame:
-    """Relative error against the truth's mean per year, over scenarios and iterations."""
+    """Relative error against the truth's mean per year, over scenarios and iterations.
+
+    The few-row table of means is written once: the planner knows its size and broadcasts it,
+    so the estimates are not shuffled by year.
+    """
     kind = role(F.col("model_run"))
     cols = [c.cast("double").alias(m) for m, c in metrics.items()]
     truth = (
@@ -153,6 +167,7 @@ def error_vs_truth_mean(df: DataFrame, metrics: Metrics, null_to: float = 0.0) -
         .groupBy("year")
         .agg(*[strict_mean(m).alias(f"{m}_om") for m in metrics])
     )
+    truth = stored(truth, "truth-means")
     em = df.where(labelled_estimate()).select(*YEAR_KEYS, "model_run", "label", *cols)
     errors = [
         F.coalesce(
@@ -183,11 +198,13 @@ def truth_mean_ratio(df: DataFrame, columns: list[str], event_years_of: int | No
     kind = role(F.col("model_run"))
     truth = to_long(df.where(kind == "OM"), columns, "fleet", "value", ["scenario", "year"])
     truth = truth.groupBy("scenario", "year", "fleet").agg(strict_mean("value").alias("om_value"))
+    truth = stored(truth, "truth-means")
     em = df.where(labelled_estimate())
     if event_years_of is not None:
         events = df.where(
             (kind == "OM") & (F.col("iteration") == event_years_of) & (F.col("F_5") > 0)
         ).select("scenario", "year")
+        events = stored(events, "event-years")
         em = em.join(events, ["scenario", "year"], "left_semi")
     long = to_long(em, columns, "fleet", "value",
                    [*YEAR_KEYS, "model_run", "label", "years_until_terminal"])
@@ -205,6 +222,7 @@ def f_over_fmsy_ratio(df: DataFrame, scalar: DataFrame, columns: list[str],
         .groupBy("scenario", "model_run")
         .agg(strict_mean("F_MSY").alias("mean_f_msy"))
     )
+    f_msy = stored(f_msy, "f-msy")
     rel = truth_mean_ratio(df, columns).join(f_msy, ["scenario", "model_run"], "left")
     return rel.withColumn(
         "ratio",

@@ -13,12 +13,10 @@ from runlens.sources.summary import Summary
 
 def scenario_groups() -> dict[str, list[str]]:
     """The named scenario groups; shape designs are generated from their rule."""
-    same_first = [(s, s) for s in names.SHAPES] + [
-        (a, b) for a in names.SHAPES for b in names.SHAPES if a != b
-    ]
+    pairs = [(a, b) for a in names.SHAPES for b in names.SHAPES]
     groups = {"core": names.CORE_SCENARIOS, "all_years": names.EVERY_YEAR_SCENARIOS}
     for suffix in ("rt_2", "all_yrs", "rt_34", "34_all_yrs"):
-        groups[f"selectivity_{suffix}"] = [f"{a}_x_{b}_{suffix}" for a, b in same_first]
+        groups[f"selectivity_{suffix}"] = [f"{a}_x_{b}_{suffix}" for a, b in pairs]
     return groups
 
 

@@ -1,18 +1,20 @@
 """Exact quantiles (linear interpolation between order statistics) of any group size.
 
-Small sources use Spark's `percentile`, which keeps the distinct values of a group in
-one task's memory. A group may hold a third of a very large table, so that is done
-only behind a size check; otherwise the group is spread over many tasks:
+A group may hold a third of a very large table, so its values are spread over many tasks:
 
 1. count equal values: (keys, value) -> n, combined before the shuffle; a hot group is
-   spread over all tasks by its values. The counts are written once to the shared
-   scratch folder, so the steps below never run the source's plan again;
+   spread over all tasks by its values;
 2. a bounded sketch per group gives split points between its distinct values;
 3. counts per (keys, bin) turn ranks into offsets; only the few bins that hold a wanted
-   rank go on, and are split again while one has more values than a task should sort;
-4. those bins are ranked exactly, each by its own task, and the order statistics picked.
+   rank go on;
+4. those bins are ranked exactly, each by its own task (a sort that spills), and the order
+   statistics picked.
 
-No value is dropped or approximated: the sketch only decides where bins are cut.
+It is one lazy plan, the same for every size of the input; the steps share the shuffle of the
+counts. No value is dropped or approximated: the sketch only decides where bins are cut.
+
+Where the caller knows from the keys that a group is small whatever the input (`bounded`: one
+value a year of one run, say), one aggregation with `percentile` does the same.
 """
 
 from __future__ import annotations
@@ -21,29 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions.semantics import nan_to_null
-from runlens.sources.scratch import stored
-
-DIRECT_BYTES_CONF = "spark.runlens.quantiles.directBytes"
-DIRECT_BYTES = 256 * 1024 * 1024
-TASK_VALUES_CONF = "spark.runlens.quantiles.taskValues"
-TASK_VALUES = 1_000_000
-BINS = 64
-
-
-def source_bytes(df: DataFrame) -> int:
-    """Bytes of all relations a frame reads, as the file listing gives them.
-
-    The analysed plan is enough; nothing is optimised or run. Relations of unknown
-    size count as very large.
-    """
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
-
-def fits_one_task(df: DataFrame) -> bool:
-    """Whether even a group holding everything `df` reads is small."""
-    limit = int(df.sparkSession.conf.get(DIRECT_BYTES_CONF, str(DIRECT_BYTES)))
-    return source_bytes(df) <= limit
+BINS = 256
 
 
 def same_keys(left: str, right: str, keys: list[str]) -> Column:
@@ -81,7 +62,7 @@ def _split(vals: DataFrame, keys: list[str]) -> DataFrame:
     sketch = (
         vals.where(F.col("v").isNotNull())
         .groupBy(*keys)
-        .agg(F.percentile_approx("v", cuts, 1000).alias("cuts"))
+        .agg(F.percentile_approx("v", cuts, 4 * BINS).alias("cuts"))
     )
     center = F.col("cuts")[BINS // 2]
     number = F.size(F.filter("cuts", lambda cut: cut < F.col("v")))
@@ -114,7 +95,6 @@ def spread_stats(vals: DataFrame, keys: list[str], probs: list[float]) -> DataFr
     off = F.col("v") - F.col("mid")  # moments around a central value keep their digits
     bins = binned.groupBy(*keys, "bin").agg(
         F.sum("c").alias("n"),
-        F.count(F.lit(1)).alias("n_values"),
         F.max("mid").alias("mid"),
         F.sum(F.col("c") * off).alias("s1"),
         F.sum(F.col("c") * off * off).alias("s2"),
@@ -163,41 +143,14 @@ def spread_stats(vals: DataFrame, keys: list[str], probs: list[float]) -> DataFr
 def _order_statistics(binned: DataFrame, ranked: DataFrame, keys: list[str],
                       probs: list[float]) -> DataFrame:
     """Exact quantiles from binned values and their ranked bins."""
-    limit = int(binned.sparkSession.conf.get(TASK_VALUES_CONF, str(TASK_VALUES)))
-    binned = binned.withColumn("slot", F.lit(0).cast("bigint"))
-    ranked = ranked.withColumn("slot", F.lit(0).cast("bigint"))
-    in_slot = [*keys, "slot"]
-    while True:
-        # a slot is one chosen bin; the table of slots is a few rows per group
-        slots = stored(_holding_a_rank(ranked, probs).select(
-            *in_slot, "bin", "before", "n_known", "n_values"
-        ), "slots")
-        chosen = (
-            binned.alias("a")
-            .join(slots.alias("b"), same_keys("a", "b", [*in_slot, "bin"]))
-            .select(
-                *[F.col(f"a.{k}").alias(k) for k in keys],
-                (F.col("a.slot") * BINS + F.col("a.bin")).alias("slot"),
-                "v", "c", "before", "n_known",
-            )
-        )
-        if (slots.agg(F.max("n_values")).first()[0] or 0) <= limit:
-            break
-        binned = _split(stored(chosen, "values"), in_slot)
-        within = Window.partitionBy(*in_slot).orderBy("bin")
-        ranked = (
-            binned.groupBy(*in_slot, "bin")
-            .agg(
-                F.sum("c").alias("n"),
-                F.count(F.lit(1)).alias("n_values"),
-                F.max("before").alias("before"),
-                F.max("n_known").alias("n_known"),
-            )
-            .withColumn("upto", F.col("before") + F.sum("n").over(within))
-            .withColumn("before", F.col("upto") - F.col("n"))
-        )
-        binned = binned.drop("before", "n_known")
-    upto = Window.partitionBy(*in_slot).orderBy("v").rowsBetween(
+    in_bin = [*keys, "bin"]
+    slots = _holding_a_rank(ranked, probs).select(*in_bin, "before", "n_known")
+    chosen = (
+        binned.alias("a")
+        .join(slots.alias("b"), same_keys("a", "b", in_bin))
+        .select(*[F.col(f"a.{k}").alias(k) for k in in_bin], "v", "c", "before", "n_known")
+    )
+    upto = Window.partitionBy(*in_bin).orderBy("v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     placed = chosen.withColumn("upto", F.sum("c").over(upto) + F.col("before")).withColumn(
@@ -241,8 +194,12 @@ def direct_stats(df: DataFrame, keys: list[str], value: Column, probs: list[floa
     ).drop("q") if probs else out
 
 
-def group_stats(df: DataFrame, keys: list[str], value: Column, probs: list[float]) -> DataFrame:
-    """n_rows, n, mean, sd, total, least, most and quantiles q0..qk per group."""
-    if not probs or fits_one_task(df):
+def group_stats(df: DataFrame, keys: list[str], value: Column, probs: list[float],
+                bounded: bool = False) -> DataFrame:
+    """n_rows, n, mean, sd, total, least, most and quantiles q0..qk per group.
+
+    `bounded`: the keys alone bound a group, so that one task may hold its values.
+    """
+    if not probs or bounded:
         return direct_stats(df, keys, value, probs)
-    return spread_stats(stored(count_values(df, keys, value), "values"), keys, probs)
+    return spread_stats(count_values(df, keys, value), keys, probs)

@@ -9,14 +9,7 @@ from runlens.functions.semantics import is_finite, role, safe_ratio
 from runlens.functions.student import t_quantile
 from runlens.operators.curate import with_role
 from runlens.operators.derive import to_long
-from runlens.operators.quantiles import (
-    count_values,
-    fits_one_task,
-    group_stats,
-    same_keys,
-    spread_stats,
-)
-from runlens.sources.scratch import stored
+from runlens.operators.quantiles import count_values, group_stats, same_keys, spread_stats
 
 _SIMPLE = {"mean": "mean", "sd": "sd", "sum": "total", "min": "least", "max": "most"}
 RIBBON = {"median_ratio": 0.5, "lower_quartile": 0.25, "upper_quartile": 0.75}
@@ -29,16 +22,17 @@ def _value(col: str | Column) -> Column:
 
 
 def summarise(df: DataFrame, keys: list[str], col: str | Column,
-              stats: dict[str, str | float], strict: bool = False) -> DataFrame:
+              stats: dict[str, str | float], strict: bool = False,
+              bounded: bool = False) -> DataFrame:
     """Named statistics of one value per group.
 
     `stats` maps an output name to "mean", "sd", "sum", "min", "max", "n", "median" or
     a quantile's probability. Missing values are skipped; `strict` makes the result
-    missing instead when a group has any.
+    missing instead when a group has any. `bounded`: see `group_stats`.
     """
     probs = sorted({0.5 if s == "median" else s for s in stats.values()
                     if s == "median" or isinstance(s, float)})
-    base = group_stats(df, keys, _value(col), probs)
+    base = group_stats(df, keys, _value(col), probs, bounded)
     out = []
     for name, s in stats.items():
         if s == "n":
@@ -92,20 +86,13 @@ def boxplot_stats(df: DataFrame, keys: list[str], col: str | Column, reach: floa
 
     Hinges are quartiles; whiskers end at the extreme values within `reach` hinge
     spreads of the hinges; values beyond are counted as outliers. The fences need a
-    second look at the values: both looks share one count of equal values, and the
+    second look at the values: both looks share one shuffle of counted equal values, and the
     fences of the few groups join it.
     """
     probs = [0.25, 0.5, 0.75]
     value = _value(col)
-    direct = fits_one_task(df)
     vals = count_values(df.where(is_finite(value)), keys, value)
-    if direct:
-        q = vals.groupBy(*keys).agg(F.percentile("v", probs, F.col("c")).alias("q")).select(
-            *keys, *[F.col("q")[i].alias(f"q{i}") for i in range(3)]
-        )
-    else:
-        vals = stored(vals, "values")
-        q = spread_stats(vals, keys, probs).select(*keys, "q0", "q1", "q2")
+    q = spread_stats(vals, keys, probs).select(*keys, "q0", "q1", "q2")
     v, c = F.col("v"), F.col("c")
     spread = (F.col("q2") - F.col("q0")) * reach
     inside = (v >= F.col("q0") - spread) & (v <= F.col("q2") + spread)
@@ -138,18 +125,26 @@ def stat_lines(df: DataFrame, metrics: list[str], label: int | None = None) -> D
     ).withColumnRenamed("role", "model_type")
 
 
+#: Upper edges of the buckets of years until the terminal year, and their names.
+TERMINAL_EDGES = [3, 6]
+TERMINAL_NAMES = ["0-3", "3-6", "6+"]
+NO_BUCKET = "Other"
+
+
+def bucket(value: Column, edges: list[float], names: list[str], missing: str | None = None) -> Column:
+    """Name of the interval, closed on the right, that holds the value; edges ascending."""
+    above = sum((F.when(value > e, 1).otherwise(0) for e in edges), F.lit(0))
+    named = F.element_at(F.array(*[F.lit(n) for n in names]), above + 1)
+    return F.when(value.isNull(), F.lit(missing)).otherwise(named)
+
+
 def terminal_group(gap: Column) -> Column:
     """Bucket of the years until the label's terminal year."""
-    return (
-        F.when(gap <= 3, "0-3")
-        .when((gap > 3) & (gap <= 6), "3-6")
-        .when(gap > 6, "6+")
-        .otherwise("Other")
-    )
+    return bucket(gap, TERMINAL_EDGES, TERMINAL_NAMES, NO_BUCKET)
 
 
 def histogram(df: DataFrame, keys: list[str], col: str, bins: int = 10) -> DataFrame:
-    """Counts in equal-width bins shared by all groups, closed on the right.
+    """Counts in all equal-width bins shared by all groups, closed on the right.
 
     The first bin is centred on the overall minimum and the last on the maximum.
     """
@@ -165,13 +160,16 @@ def histogram(df: DataFrame, keys: list[str], col: str, bins: int = 10) -> DataF
     # the small shift counts a value that sits on a break, up to rounding, as below it
     steps = F.try_divide(F.col("v") - F.col("lo"), F.col("width")) + 0.5 - 1e-8
     index = F.when(F.col("width") == 0, 0).otherwise(F.greatest(F.ceil(steps) - 1, F.lit(0)))
+    counted = placed.withColumn("bin", index.cast("int")).groupBy(*keys).agg(
+        F.array(*[F.count_if(F.col("bin") == i) for i in range(bins)]).alias("counts"),
+        F.max("lo").alias("lo"),
+        F.max("width").alias("width"),
+    )
+    # empty bins are bins too; without a range there is one
     return (
-        placed.withColumns({"bin": index.cast("int")})
-        .groupBy(*keys, "bin")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max(F.col("lo") + F.col("bin") * F.col("width")).alias("bin_center"),
-        )
+        counted.select(*keys, "lo", "width", F.posexplode("counts").alias("bin", "n"))
+        .where((F.col("width") > 0) | (F.col("bin") == 0))
+        .select(*keys, "bin", "n", (F.col("lo") + F.col("bin") * F.col("width")).alias("bin_center"))
     )
 
 
@@ -194,13 +192,6 @@ def event_year_match(df: DataFrame) -> DataFrame:
     )
 
 
-def residual_sums(res: DataFrame, sectors: list[str], n_iterations: Column) -> DataFrame:
-    """Strict residual sums per scenario, per iteration of the campaign."""
-    return res.groupBy("scenario").agg(
-        *[(strict_sum(s) / n_iterations).alias(f"sum_{s}") for s in sectors]
-    )
-
-
 def strict_sum(col: str) -> Column:
     return F.when(F.count(col) == F.count(F.lit(1)), F.sum(col))
 
@@ -213,7 +204,7 @@ def residual_share(paired: DataFrame, n_iterations: Column | None = None,
     how="mean" relates means; its commercial share is relative to the estimate's mean.
     """
     sectors = ["commercial", "recreational", "event_dead"]
-    agg = strict_sum if how == "sum" else _strict_avg
+    agg = strict_sum if how == "sum" else strict_avg
     wide = paired.withColumns(
         {f"{s}_res": F.col(f"{s}_em") - F.col(f"{s}_om") for s in sectors}
     )
@@ -239,5 +230,5 @@ def residual_share(paired: DataFrame, n_iterations: Column | None = None,
     )
 
 
-def _strict_avg(col: str) -> Column:
+def strict_avg(col: str) -> Column:
     return F.when(F.count(col) == F.count(F.lit(1)), F.avg(col))

@@ -1,11 +1,11 @@
 """Event schedules over a template with one row per year and fleet.
 
-Random choices order by a hash of (seed, ...): the same on every run and executor.
+Random choices order by the MD5 of "seed|...": the same on every run and in every engine.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,7 +24,7 @@ def random_schedule(template: DataFrame, n: int, mortality: float, seed: int,
     span = template.select(F.min("yr").alias("first"), F.max("yr").alias("last"))
     drawn = (
         span.select(F.explode(F.sequence("first", "last")).alias("yr"))
-        .orderBy(F.xxhash64(F.lit(seed), "yr"), "yr")
+        .orderBy(_hash(seed, "yr"), "yr")
         .limit(n)
         .withColumn("drawn", F.lit(True))
     )
@@ -36,77 +36,91 @@ def random_schedule(template: DataFrame, n: int, mortality: float, seed: int,
     )
 
 
-def _uniform(*parts: Column) -> Column:
-    """A hash of the parts as a number in [0, 1)."""
-    return F.pmod(F.xxhash64(*parts), F.lit(2**53)).cast("double") / F.lit(float(2**53))
+def _hash(seed: int, *parts: str | Column) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p) if isinstance(p, str) else p for p in parts]))
 
 
-def balanced_random_schedule(template: DataFrame, iterations: DataFrame, n: int, lo: float,
-                             hi: float, mean: float, seed: int, fleet: int = 5,
-                             chain: int = 1000) -> DataFrame:
-    """n distinct event years per iteration, spread over all years.
+def _uniform(key: Column) -> Column:
+    """The first 12 hex digits of a hash as a number in [0, 1)."""
+    return F.conv(F.substring(key, 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
-    Iterations draw n years at a time from a shuffled pool without replacement; a pool
-    that has become too short is topped up with a new shuffle of the years it lacks, so
-    a year left over is drawn next. Magnitudes are uniform on [lo, hi), rescaled so that each
-    iteration's mean is `mean`.
 
-    Each draw depends on the one before, so the pool is folded along blocks of `chain`
-    iterations: a block is one row and one small array, and blocks run in parallel.
-    """
-    rows = template.where(F.col("fltsvy") == fleet)
-    years = rows.select(F.array_sort(F.collect_set("yr"))).scalar()
-
-    def shuffled(values: Column, step: Column) -> Column:
-        keyed = F.transform(
-            values, lambda y: F.struct(F.xxhash64(F.lit(seed), F.col("block"), step, y), y.alias("y"))
-        )
-        return F.transform(F.array_sort(keyed), lambda s: s["y"])
-
-    def draw(state: Column, step: Column) -> Column:
-        pool = state["pool"]
-        rest = F.filter(pool, lambda _, i: i >= n)
-        topped = F.concat(rest, shuffled(F.array_except(F.col("years"), rest), step))
-        return F.struct(
-            F.when(F.size(rest) < n, topped).otherwise(rest).alias("pool"),
-            F.concat(state["picks"], F.array(F.slice(pool, 1, n))).alias("picks"),
-        )
+def _balanced_slots(slots: DataFrame, listed: Column, seed: int) -> DataFrame:
+    """iteration, yr: `m` distinct years an iteration, where 2 * m is at most the number of years.
 
-    index = F.col("iteration") - 1
-    numbered = iterations.select(
+    slots: iteration, m (the same in all rows), j (0 to m - 1); listed: array of rows with `yr`. All draws in a row fill cycles;
+    a cycle is one order of all years, so uses differ by one at most. Where an iteration takes
+    its first years from one cycle's end and the rest from the next one's start, the former are
+    fixed by a hash of their cycle alone and come last in it; the next cycle starts with others.
+    So every cycle is ordered on its own, in parallel.
+    """
+    n_years = F.size(listed)
+    placed = slots.withColumn("p", (F.col("iteration") - 1) * F.col("m") + F.col("j")).select(
         "iteration",
-        F.floor(index / chain).alias("block"),
-        (index % chain).cast("int").alias("step"),
+        "m",
+        F.floor(F.col("p") / n_years).alias("cycle"),
+        F.pmod("p", n_years).alias("place"),
+    )
+    by_cycle = Window.partitionBy("cycle")
+    m, cycle = F.col("m"), F.col("cycle")
+    tail = F.row_number().over(by_cycle.orderBy(_hash(seed, F.lit("tail"), cycle, "yr"), "yr"))
+    last_tail = F.row_number().over(by_cycle.orderBy(_hash(seed, F.lit("tail"), cycle - 1, "yr"), "yr"))
+    part = (
+        F.when(tail <= F.pmod((cycle + 1) * n_years, m), 2)
+        .when(last_tail <= F.pmod(cycle * n_years, m), 1)
+        .otherwise(0)
     )
-    empty = F.expr("cast(array() as array<array<int>>)")
-    picks = (
-        numbered.groupBy("block")
-        .agg(F.max("step").alias("last"))
-        .withColumn("years", years)
-        .withColumn(
-            "state",
-            F.aggregate(
-                F.sequence(F.lit(0), F.col("last")),
-                F.struct(shuffled(F.col("years"), F.lit(-1)).alias("pool"), empty.alias("picks")),
-                draw,
-            ),
+    order = (
+        placed.select("cycle", "m").distinct()
+        .withColumn("rows", listed)
+        .select("cycle", "m", F.explode("rows.yr").alias("yr"))
+        .withColumn("part", part)
+        .select(
+            "cycle",
+            "yr",
+            (F.row_number().over(by_cycle.orderBy("part", _hash(seed, F.lit("order"), cycle, "yr"), "yr")) - 1)
+            .alias("place"),
         )
-        .select("block", F.posexplode("state.picks").alias("step", "drawn"))
     )
+    return placed.join(order, ["cycle", "place"]).select("iteration", "yr")
+
+
+def balanced_random_schedule(template: DataFrame, iterations: DataFrame, n: int, lo: float,
+                             hi: float, mean: float, seed: int, fleet: int = 5) -> DataFrame:
+    """n distinct event years per iteration, spread over all years.
+
+    Uses of any two years differ by one at most, over all iterations from 1 on. More than half of
+    the years are drawn by drawing, as evenly, those left out. Magnitudes are uniform on
+    [lo, hi), rescaled so that each iteration's mean is `mean`.
+    """
+    rows = template.where(F.col("fltsvy") == fleet)
+    # the template of one fleet has one row per year: attached to each row as one array
+    listed = rows.select(F.array_sort(F.collect_set(F.struct("yr", "seas", "fltsvy", "catch")))).scalar()
+    skipped = F.lit(2 * n) > F.size(listed)
+    draws = iterations.select(
+        "iteration", F.when(skipped, F.size(listed) - n).otherwise(F.lit(n)).alias("m")
+    )
+    enough = F.when(F.col("m") >= 0, F.col("m")).otherwise(F.raise_error(F.lit("fewer years than events")))
+    slots = draws.withColumn("m", enough.cast("int")).where(F.col("m") > 0).withColumn(
+        "j", F.explode(F.sequence(F.lit(0), F.col("m") - 1))
+    )
+    chosen = _balanced_slots(slots, listed, seed).groupBy("iteration").agg(
+        F.array_sort(F.collect_list("yr")).alias("chosen")
+    )
+    none = F.expr("cast(array() as array<int>)")
+    found = F.coalesce("chosen", none)
+    drawn = F.when(F.size("rows") < 2 * n, F.array_except("rows.yr", found)).otherwise(found)
     raw = F.transform(
-        "drawn", lambda y: lo + (hi - lo) * _uniform(F.lit(seed), F.lit("size"), F.col("iteration"), y)
+        "drawn", lambda y: lo + (hi - lo) * _uniform(_hash(seed, F.lit("size"), "iteration", y))
     )
     total = F.aggregate("raw", F.lit(0.0), lambda a, b: a + b)
-    sized = (
-        numbered.join(picks, ["block", "step"])
-        .withColumn("raw", raw)
-        .withColumn("sizes", F.transform("raw", lambda u: u * mean * n / total))
-    )
-    # the template of one fleet has one row per year: attach it as an array
-    listed = rows.select(F.array_sort(F.collect_set(F.struct("yr", "seas", "fltsvy", "catch")))).scalar()
     spot = F.array_position("drawn", F.col("yr"))
     return (
-        sized.select("iteration", "drawn", "sizes", listed.alias("rows"))
+        draws.select("iteration").join(chosen, "iteration", "left")
+        .withColumn("rows", listed)
+        .withColumn("drawn", drawn)
+        .withColumn("raw", raw)
+        .withColumn("sizes", F.transform("raw", lambda u: u * mean * n / total))
         .select("iteration", "drawn", "sizes", F.inline("rows"))
         .select(
             "iteration",

@@ -1,24 +1,20 @@
-"""Where intermediate tables go: the shared folder the cluster names."""
+"""Where intermediate tables go: the shared folder that the session names."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below `spark.checkpoint.dir`.
+    """A fresh path below `spark.checkpoint.dir`; where it is unset, below the warehouse.
 
-    A machine-local folder is used only where the setting is absent and the
-    session is local; on a cluster the setting is required.
+    Both are folders that the driver and all executors share.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="runlens-")
+    if not root:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

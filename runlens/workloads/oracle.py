@@ -115,7 +115,7 @@ def _prepared(raw: str, cut: str, offset: int) -> str:
 
 _cut = " AND CASE WHEN contains(model_run, '_EM') THEN label + 3 - year > 2 ELSE TRUE END"
 _shapes = ["flat", "young", "old", "mid"]
-_pairs = [(s, s) for s in _shapes] + [(a, b) for a in _shapes for b in _shapes if a != b]
+_pairs = [(a, b) for a in _shapes for b in _shapes]
 _groups = {
     "core": ["no_rt", "no_rt_x_rt_2", "rt_2_x_no_rt", "rt_2_x_rt_2"],
     "all_years": ["no_rt_x_all_yrs", "rep_3_x_all_yrs", "rt_2_x_all_yrs"],
@@ -126,60 +126,31 @@ _groups = {
 }
 _dim_rows = [(s, g) for g, members in _groups.items() for s in members]
 
-_om = "nullif(regexp_extract(scenario, '^(\\w+)_x_', 1), '')"
+# What each scenario's name says, written out: truth and estimator model, the parts of the name
+# with its design, and the event classes of estimator and truth, plain and by magnitude.
+_NO, _TWO, _ALL = "no event", "two-year event", "every-year event"
+_NAMES = {
+    "no_rt": ("no_rt", "reference", "no_rt", None, None, _NO, _NO, _NO, _NO),
+    "no_rt_x_rt_2": ("no_rt_x_rt_2", "reference", "no_rt", "rt", "rt_2", _TWO, _NO, _TWO, _NO),
+    "rt_2_x_no_rt": ("rt_2_x_no_rt", "reference", "rt_2", "no_rt", "", _NO, _TWO, _NO, _TWO),
+    "rt_2_x_rt_2": ("rt_2_x_rt_2", "reference", "rt_2", "rt", "rt_2", _TWO, _TWO, _TWO, _TWO),
+    "rt_2_x_all_yrs": ("rt_2_x_all_yrs", "all years", "rt_2", "all_yrs", "", _ALL, _TWO, _TWO, _TWO),
+    "flat_x_flat_rt_2": ("flat", "flat", "flat", "flat", "rt_2", _TWO, _TWO, _TWO, _TWO),
+    "flat_x_young_rt_2": ("flat", "young", "flat", "young", "rt_2", _TWO, _TWO, _TWO, _TWO),
+    "young_x_young_all_yrs": ("young", "young", "young", "young_all_yrs", "", _ALL, _TWO, _TWO, _TWO),
+}
 
 
-def _em(suffixes: str) -> str:
-    raw = f"nullif(regexp_extract(scenario, '_x_(.*?)({suffixes})', 1), '')"
-    return (
-        "CASE WHEN scenario IN ('no_rt_x_all_yrs', 'rep_3_x_all_yrs', 'rt_2_x_all_yrs') "
-        f"THEN 'all years' ELSE coalesce({raw}, 'reference') END"
-    )
+def _said(i: int) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v[i]}'" for k, v in _NAMES.items() if v[i] is not None)
+    return f"CASE scenario {whens} END"
 
 
-_om_name = (
-    f"CASE WHEN scenario = 'no_rt' THEN 'no_rt' WHEN {_om} IN ('rt_2', 'no_rt', 'rep_3') "
-    f"THEN scenario ELSE {_om} END"
-)
-_em_name = _em("_all_yrs|_rt_2")
+_om_name, _em_name = _said(0), _said(1)
 PARSED = f"{_om_name} AS om_name, {_em_name} AS em_name"
-_parts = "'^([^_]+(?:_[^_]+)*)_x_([a-z]+(?:_[a-z]+)*)(.*)$'"
-
-
-def _part(i: int) -> str:
-    return f"regexp_extract(scenario, {_parts}, {i})"
-
-
-def _clean(x: str) -> str:
-    return f"regexp_replace({x}, '(flat|young|old|mid)_rt', '\\1', 'g')"
-
-
-_has = f"regexp_matches(scenario, {_parts})"
-_design = f"regexp_replace({_part(3)}, '^_', '')"
-PARTS = (
-    f"CASE WHEN {_has} THEN {_clean(_part(1))} ELSE {_clean('scenario')} END AS om_name, "
-    f"CASE WHEN {_has} THEN {_clean(_part(2))} END AS em_name"
-)
-DESIGN = (
-    f"CASE WHEN NOT {_has} THEN NULL WHEN regexp_matches({_design}, '^\\d+$') "
-    f"THEN 'rt_' || {_design} ELSE {_design} END AS design"
-)
-EM_CLASS = (
-    "CASE WHEN scenario IN ('no_rt', 'rt_2_x_no_rt') THEN 'no event' "
-    "WHEN contains(scenario, 'all_yrs') THEN 'every-year event' ELSE 'two-year event' END"
-)
-OM_CLASS = (
-    "CASE WHEN scenario IN ('no_rt', 'no_rt_x_rt_2', 'no_rt_x_all_yrs') THEN 'no event' "
-    "WHEN contains(scenario, 'rep') THEN 'repeated event' ELSE 'two-year event' END"
-)
-EM_HIGH = (
-    "CASE WHEN scenario IN ('no_rt', 'rt_2_x_no_rt', 'rt_2_x_no_rt_high') THEN 'no event' "
-    "WHEN contains(scenario, 'high') THEN 'two-year high event' ELSE 'two-year event' END"
-)
-OM_HIGH = (
-    "CASE WHEN scenario IN ('no_rt', 'no_rt_x_rt_2', 'no_rt_x_rt_2_high') THEN 'no event' "
-    "WHEN contains(scenario, 'high') THEN 'two-year high event' ELSE 'two-year event' END"
-)
+PARTS = f"{_said(2)} AS om_name, {_said(3)} AS em_name"
+DESIGN = f"{_said(4)} AS design"
+EM_CLASS, OM_CLASS, EM_HIGH, OM_HIGH = (_said(i) for i in (5, 6, 7, 8))
 
 
 def _side(m: str, catch: str, side: str) -> str:
@@ -624,7 +595,7 @@ BODIES = {
     "parse_scenario": f"SELECT *, CASE om_name WHEN 'reference' THEN 1 WHEN 'young' THEN 2 WHEN 'mid' THEN 3 "
     "WHEN 'old' THEN 4 WHEN 'flat' THEN 5 END AS om_ordinal, CASE em_name WHEN 'reference' THEN 1 "
     "WHEN 'all years' THEN 2 WHEN 'young' THEN 3 WHEN 'mid' THEN 4 WHEN 'old' THEN 5 WHEN 'flat' THEN 6 END "
-    f"AS em_ordinal FROM (SELECT scenario, n_rows, {PARSED}, {_em('_all_yrs|_rt_2|_rt_34')} AS em_name_wide FROM scen)",
+    f"AS em_ordinal FROM (SELECT scenario, n_rows, {PARSED}, {_em_name} AS em_name_wide FROM scen)",
     "parse_scenario_parts": f"SELECT scenario, n_rows, {PARTS}, {DESIGN} FROM scen",
     "classify_design": f"SELECT scenario, n_rows, {EM_CLASS} AS em_class, {OM_CLASS} AS om_class, "
     f"{EM_HIGH} AS em_class_high, {OM_HIGH} AS om_class_high FROM scen",
@@ -783,9 +754,10 @@ BODIES = {
     f"(SELECT *, {PARTS} FROM truth WHERE iteration BETWEEN 1 AND 5)",
     "event_year_levels": _box("chosen", "scenario, year, model_run", "F_5"),
     "event_histogram": "SELECT scenario, year, bin, n, round(bin_center, 6) AS bin_center, round(om_mean, 6) AS om_mean, "
-    "round(em_mean, 6) AS em_mean FROM (SELECT scenario, year, CAST(CASE WHEN width = 0 THEN 0 ELSE "
-    "greatest(ceil((v - lo) / width + 0.5 - 1e-8) - 1, 0) END AS INTEGER) AS bin, count(*) AS n, "
-    "max(lo + bin * width) AS bin_center FROM hist GROUP BY 1, 2, 3) LEFT JOIN (SELECT scenario, year, "
+    "round(em_mean, 6) AS em_mean FROM (SELECT scenario, year, CAST(b.bin AS INTEGER) AS bin, "
+    "count(*) FILTER (WHERE h.own = b.bin) AS n, max(lo + b.bin * width) AS bin_center FROM (SELECT *, CAST(CASE WHEN "
+    "width = 0 THEN 0 ELSE greatest(ceil((v - lo) / width + 0.5 - 1e-8) - 1, 0) END AS INTEGER) AS own FROM hist) h "
+    "CROSS JOIN range(10) b(bin) WHERE width > 0 OR b.bin = 0 GROUP BY 1, 2, 3) LEFT JOIN (SELECT scenario, year, "
     "avg(F_5) FILTER (WHERE contains(model_run, '_OM')) AS om_mean, "
     "avg(F_5) FILTER (WHERE NOT contains(model_run, '_OM')) AS em_mean FROM ts WHERE year IN (1995, 1998, 2000) "
     "GROUP BY 1, 2) USING (scenario, year)",
@@ -839,6 +811,22 @@ BODIES = {
     "scenario_grid": "SELECT om, em, scenario, round(multiplier, 6) AS multiplier FROM grid",
     "regular_schedule": "SELECT yr, seas, fltsvy, CASE WHEN (yr - (SELECT min(yr) FROM template)) % 2 = 0 "
     "THEN 0.2 ELSE catch END AS catch FROM template",
+    "random_schedule": "SELECT yr, seas, fltsvy, CASE WHEN yr IN (SELECT y FROM (SELECT unnest(range(min(yr), max(yr) + 1)) "
+    "AS y FROM template) ORDER BY md5('12345|' || y), y LIMIT 3) THEN 0.2 ELSE catch END AS catch FROM template",
+    "balanced_random_schedule": "SELECT * FROM (WITH its AS (SELECT DISTINCT CAST(l_suppkey AS BIGINT) + 1 AS iteration FROM lineitem), "
+    "ny AS (SELECT count(*) AS y FROM template), "
+    "slots AS (SELECT iteration, ((iteration - 1) * 2 + j) // y AS cycle, ((iteration - 1) * 2 + j) % y AS place "
+    "FROM its CROSS JOIN range(2) r(j) CROSS JOIN ny), "
+    "ranked AS (SELECT cycle, yr, y, row_number() OVER (PARTITION BY cycle ORDER BY md5('12345|tail|' || cycle || '|' || yr), yr) "
+    "AS t, row_number() OVER (PARTITION BY cycle ORDER BY md5('12345|tail|' || (cycle - 1) || '|' || yr), yr) AS u "
+    "FROM (SELECT DISTINCT cycle FROM slots) CROSS JOIN template CROSS JOIN ny), "
+    "ordered AS (SELECT cycle, yr, row_number() OVER (PARTITION BY cycle ORDER BY CASE WHEN t <= (cycle + 1) * y % 2 THEN 2 "
+    "WHEN u <= cycle * y % 2 THEN 1 ELSE 0 END, md5('12345|order|' || cycle || '|' || yr), yr) - 1 AS place FROM ranked), "
+    "drawn AS (SELECT iteration, yr, 0.05 + 0.2 * (('0x' || substr(md5('12345|size|' || iteration || '|' || yr), 1, 12))::BIGINT "
+    "/ 281474976710656.0::DOUBLE) AS raw FROM slots JOIN ordered USING (cycle, place)), "
+    "sized AS (SELECT iteration, yr, raw * 0.1 * 2 / sum(raw) OVER (PARTITION BY iteration) AS size FROM drawn) "
+    "SELECT CAST(iteration AS INTEGER) AS iteration, yr, seas, fltsvy, round(coalesce(size, catch), 6) AS catch "
+    "FROM its CROSS JOIN template LEFT JOIN sized USING (iteration, yr))",
     "scaled_schedule": "SELECT scenario, yr, seas, fltsvy, side, round(CASE side WHEN 'OM' THEN c * multiplier ELSE c END, 6) "
     "AS catch, CASE side WHEN 'EM' THEN 0.01::DOUBLE END AS catch_se, CASE side WHEN 'EM' THEN 0 END AS fixed FROM "
     "(SELECT *, CASE WHEN (yr - (SELECT min(yr) FROM template)) % 3 = 0 THEN 0.1::DOUBLE ELSE catch END AS c FROM template) "
@@ -855,17 +843,15 @@ BODIES = {
     + ", ".join(
         f'round_even({_share[c]}, 2) AS "{label}"'
         for c, label in {
-            "share_commercial": "Commercial Catch Residual Sum (%)",
-            "share_recreational": "Recreational Catch Residual Sum (%)",
-            "share_event": "Event Discards Residual Sum (%)",
-            "total_residual": "Total Removals Residual Sum (MT)",
-            "share_total": "Proportion of Residuals to Total (%)",
+            "share_commercial": "Commercial residual, % of true removals",
+            "share_recreational": "Recreational residual, % of true removals",
+            "share_event": "Event residual, % of true removals",
+            "total_residual": "Residual of all removals per iteration",
+            "share_total": "All residuals, % of true removals",
         }.items()
     )
     + " FROM shares",
     "write_summary_scalar": f"SELECT scenario, iteration, model_run, {_rounded(SCALAR_METRICS)} FROM scalar_raw",
 }
 
-# Hash-driven choices (random_schedule, balanced_random_schedule) have no SQL twin;
-# tests check their properties instead.
 ORACLE: dict[str, str] = {name: _shift_ties(_with(body)) for name, body in BODIES.items()}

@@ -467,7 +467,7 @@ def event_intensity(spark, d):
 def event_intensity_iter(spark, d):
     rows = _event_rows(spark, d).where(F.col("year") <= SHORT[1])
     keys = ["scenario", "iteration", "model_run"]
-    return rounded(sm.summarise(rows, keys, "F_5", _F5_STATS).orderBy("scenario", "iteration"))
+    return rounded(sm.summarise(rows, keys, "F_5", _F5_STATS, bounded=True).orderBy("scenario", "iteration"))
 
 
 @query
@@ -821,7 +821,8 @@ def event_magnitude(spark, d):
 @query
 def compare_iterations(spark, d):
     stats = sm.summarise(
-        curate.with_role(_event_rows(spark, d)), ["scenario", "iteration", "role"], "F_5", _F5_STATS
+        curate.with_role(_event_rows(spark, d)), ["scenario", "iteration", "role"], "F_5", _F5_STATS,
+        bounded=True,  # years of one run
     )
     wide = stats.groupBy("scenario", "iteration").pivot("role", ["EM", "OM"]).agg(
         *[F.first(c).alias(c) for c in _F5_STATS]
@@ -876,9 +877,9 @@ def at_age_median(spark, d):
 
 
 def _index_long(spark: SparkSession, d: str) -> DataFrame:
-    """Both models' indices, stacked, in long form; missing values dropped."""
+    """Both models' indices in long form; missing values dropped."""
     cpue = fx.cpue(spark, d)
-    both = cpue.where(F.col("model") == "EM").unionByName(cpue.where(F.col("model") == "OM"))
+    both = cpue.where(F.col("model").isin("EM", "OM"))
     keep = ["fleet_name", "scenario", "model", "yr"]
     return derive.to_long(both, ["obs", "exp"], "series", "value", keep).where(
         F.col("value").isNotNull()
@@ -1017,11 +1018,11 @@ def scenario_label(spark, d):
 
 REPORT_LABELS = {
     "scenario": "Scenario",
-    "share_commercial": "Commercial Catch Residual Sum (%)",
-    "share_recreational": "Recreational Catch Residual Sum (%)",
-    "share_event": "Event Discards Residual Sum (%)",
-    "total_residual": "Total Removals Residual Sum (MT)",
-    "share_total": "Proportion of Residuals to Total (%)",
+    "share_commercial": "Commercial residual, % of true removals",
+    "share_recreational": "Recreational residual, % of true removals",
+    "share_event": "Event residual, % of true removals",
+    "total_residual": "Residual of all removals per iteration",
+    "share_total": "All residuals, % of true removals",
 }
 
 

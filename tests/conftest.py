@@ -13,16 +13,6 @@ def spark():
     return local_session(8, "8g")
 
 
-@pytest.fixture
-def spread(spark):
-    """Force the distributed quantile path."""
-    from runlens.operators.quantiles import DIRECT_BYTES_CONF
-
-    spark.conf.set(DIRECT_BYTES_CONF, "-1")
-    yield
-    spark.conf.unset(DIRECT_BYTES_CONF)
-
-
 TINY = "/root/testdata/sf0.001"
 
 

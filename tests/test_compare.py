@@ -103,3 +103,20 @@ def test_one_label_plan_reads_once_and_shuffles_once(ts):
     assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
     assert "SortAggregate" not in plan
     assert "F_1" not in plan and "SpawnBio" not in plan
+
+
+@pytest.mark.parametrize("label", [None, LABEL])
+@pytest.mark.parametrize("twice", ["base_OM", "base_EM_2001"])
+def test_a_second_row_raises_even_where_label_is_dropped(spark, label, twice):
+    rows = [("a", 1, 2000, run, 2001 if "EM" in run else None, 2.0) for run in ("base_OM", "base_EM_2001", twice)]
+    df = spark.createDataFrame(rows, "scenario string, iteration int, year int, model_run string, label int, x double")
+    ratio = cmp.compare(df, {"x": F.col("x")}, "ratio", label)
+    with pytest.raises(Exception, match="more than one truth or estimate"):
+        ratio.groupBy("scenario").agg(F.avg("x")).collect()
+
+
+def test_all_labels_keep_estimates_without_a_truth(spark):
+    rows = [("a", 1, 2000, "base_EM_init", None, 3.0), ("a", 1, 2000, "base_EM_2001", 2001, 2.0)]
+    df = spark.createDataFrame(rows, "scenario string, iteration int, year int, model_run string, label int, x double")
+    got = cmp.pair(df, {"x": F.col("x")}).collect()
+    assert sorted((r.model_run, r.x_em, r.x_om) for r in got) == [("base_EM_2001", 2.0, None), ("base_EM_init", 3.0, None)]

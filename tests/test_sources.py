@@ -7,7 +7,7 @@ from runlens.operators.curate import scenario_dim
 from runlens.sources import fixtures as fx
 from runlens.sources.scratch import scratch_dir, stored
 from runlens.sources.summary import (
-    load_run_reports, load_summary, normalise_names, write_summary, write_table,
+    load_run_reports, load_summary, normalise_names, read_table, write_summary, write_table,
 )
 
 
@@ -72,8 +72,27 @@ def test_scratch_uses_the_shared_folder():
     shared = Session("yarn", **{"spark.checkpoint.dir": "hdfs:///shared/"})
     assert scratch_dir(shared, "x").startswith("hdfs:///shared/x-")
     assert scratch_dir(shared, "x") != scratch_dir(shared, "x")
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch_dir(Session("yarn"), "x")
+    unset = Session("yarn", **{"spark.sql.warehouse.dir": "hdfs:///warehouse"})
+    assert scratch_dir(unset, "x").startswith("hdfs:///warehouse/scratch/x-")
+
+
+def test_partition_values_survive(spark, tmp_path):
+    rows = spark.createDataFrame([("034", 1.0), ("2001", 2.0), ("a b", 3.0)], "scenario string, x double")
+    write_table(rows, str(tmp_path / "t"))
+    back = read_table(spark, str(tmp_path / "t"))
+    assert sorted((r.scenario, r.x) for r in back.collect()) == [("034", 1.0), ("2001", 2.0), ("a b", 3.0)]
+    for blank in ("", None):
+        bad = spark.createDataFrame([(blank, 1.0)], "scenario string, x double")
+        with pytest.raises(Exception, match="blank partition value"):
+            write_table(bad, str(tmp_path / f"bad{blank}"))
+
+
+def test_nothing_is_overwritten_unasked(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1.0)], "scenario string, x double")
+    write_table(rows, str(tmp_path / "t"))
+    with pytest.raises(Exception, match="(?i)already exists"):
+        write_table(rows, str(tmp_path / "t"))
+    write_table(rows, str(tmp_path / "t"), mode="overwrite")
 
 
 def test_stored_reads_back(spark):

@@ -55,35 +55,33 @@ def test_quantiles_match_numpy(spark):
         assert math.isclose(got["hot", j]["sd"], x.std(ddof=1), rel_tol=1e-7)
 
 
-def test_narrowing_rounds(spark):
-    """Bins with too many values are split again and again; the answer stays exact."""
+def test_quantiles_of_many_values(spark):
+    """Groups with far more values than bins stay exact."""
     rng = random.Random(9)
     rows = [("hot", rng.gauss(0, 1) ** 5) for _ in range(9000)] + [("tiny", float(i)) for i in range(5)]
     vals = q.count_values(spark.createDataFrame(rows, "k string, x double"), ["k"], F.col("x"))
-    spark.conf.set(q.TASK_VALUES_CONF, "3")
-    try:
-        got = by_key(q.spread_stats(vals, ["k"], PROBS), ("k",))
-    finally:
-        spark.conf.unset(q.TASK_VALUES_CONF)
+    got = by_key(q.spread_stats(vals, ["k"], PROBS), ("k",))
     for k in ("hot", "tiny"):
         want = np.quantile([v for g, v in rows if g == k], PROBS)
         assert np.allclose([got[(k,)][f"q{i}"] for i in range(len(PROBS))], want, rtol=1e-12)
 
 
-def test_size_check_chooses_the_path(spark, ts, spread):
-    assert not q.fits_one_task(ts)
-    wide = sm.summarise(ts, ["scenario"], "F_5", {"m": "median", "s": "sum", "n": "n"})
-    plan = wide._jdf.queryExecution().executedPlan().toString()
-    assert "percentile(" not in plan and "Window" in plan
+def test_the_plan_does_not_depend_on_the_size(spark, ts):
+    import re
 
+    def shape(df):
+        plan = sm.summarise(df, ["scenario"], "F_5", {"m": "median"})._jdf.queryExecution().optimizedPlan().toString()
+        return [re.match(r"[\s:+-]*(\w+)", line)[1] for line in plan.splitlines()]
 
-def test_unknown_sizes_are_not_direct(spark):
-    assert not q.fits_one_task(spark.createDataFrame([(1.0,)], "x double"))
-
-
-def test_size_check_on_files(ts):
-    assert q.fits_one_task(ts)
-    assert 0 < q.source_bytes(ts) < 10_000_000
+    many = ts
+    for _ in range(3):
+        many = many.unionByName(many)
+    small, large = shape(ts), shape(many)
+    assert "Window" in small and [x for x in large if x not in ("Union", "Relation", "Project", "Filter")] == [
+        x for x in small if x not in ("Union", "Relation", "Project", "Filter")
+    ]
+    bounded = sm.summarise(ts, ["scenario"], "F_5", {"m": "median"}, bounded=True)
+    assert "percentile(" in bounded._jdf.queryExecution().optimizedPlan().toString()
 
 
 @pytest.mark.parametrize("strict", [False, True])
@@ -115,10 +113,6 @@ def test_boxplot(spark):
     check_box(spark)
 
 
-def test_boxplot_spread(spark, spread):
-    check_box(spark)
-
-
 def test_t_interval(spark):
     x = [1.0, 2.0, 4.0, 10.0]
     rows = [("a", v) for v in x] + [("a", math.inf), ("a", None), ("b", 3.0)]
