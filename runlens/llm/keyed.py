@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.tables import components, stored
+from runlens.llm.tables import components, join_checked, stored
 
 Verify = Callable[[DataFrame], DataFrame]
 
@@ -23,7 +23,8 @@ def links_through_keys(entries: DataFrame, fits: str, prepare: Callable[[DataFra
     minimum and joined, so a frequent key is split like any skewed join.
     """
     ends = entries.groupBy("key").agg(F.min("s").alias("p"), F.max("s").alias("q")).where("p <> q")
-    shared = stored(entries.join(ends.select("key", "p"), "key").dropDuplicates(["key", "s"]), "shared-keys")
+    ends = stored(ends.select("key", "p"), "shared-ends")
+    shared = stored(join_checked(entries, ends, "key").dropDuplicates(["key", "s"]), "shared-keys")
     nodes = stored(shared.select(F.col("s").alias("id")).distinct(), "shared-nodes")
     verify = prepare(nodes)
     pivots = shared.where("s = p")
