@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm import language, leaks, lines, ngram_join, personal, pieces, quality, substrings, toxicity, vectors
-from runlens.llm.tables import stored, table
+from runlens.llm.tables import join_checked, stored, table
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +58,9 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), f"{_remainder(5)} = 0"
     known = table(spark, sf_dir, "labels").where(f"toxic is not null and not ({held_out})").selectExpr("doc_id", "toxic as y")
-    # the labelled texts, moved once and read in several passes
-    rows = stored(docs.join(known, "doc_id").where("text is not null").select("text", "y"), "toxicity-rows", wide=True)
+    # the labelled texts are picked once and read in several passes
+    rows = join_checked(docs, stored(known, "toxicity-labels"), "doc_id").where("text is not null").select("text", "y")
+    rows = stored(rows, "toxicity-rows", wide=True)
     return toxicity.detect(docs, toxicity.train(rows)).selectExpr(
         "doc_id", f"{held_out} as held_out", "score", "cast(score >= 0.5 as int) as predicted", "spans"
     )

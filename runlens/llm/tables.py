@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what Python workers hold of long texts: rows and bytes of an Arrow batch."""
+def prepare(spark: SparkSession) -> None:
+    """Settings of a session that runs these operators.
+
+    Rows and bytes of an Arrow batch are bounded, so that Python workers hold little of long
+    texts; workers find this package where the driver has it, also from another folder.
+    """
+    root, paths = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in paths.get("PYTHONPATH", "").split(":"):
+        paths["PYTHONPATH"] = ":".join(filter(None, [root, paths.get("PYTHONPATH")]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
