@@ -13,7 +13,7 @@ Verify = Callable[[DataFrame], DataFrame]
 
 
 def links_through_keys(entries: DataFrame, fits: str, prepare: Callable[[DataFrame], Verify]) -> DataFrame:
-    """Pairs (x, y) that connect the same groups as all similar pairs that share a key.
+    """Pairs (x, y) of entries that connect the same groups as all similar pairs that share a key.
 
     entries: key, s (the entry), and columns that `fits` compares, a condition on the aliases u
     and v. prepare: gets the entries (id) that share a key, and gives a function from pairs (x, y)
@@ -25,12 +25,20 @@ def links_through_keys(entries: DataFrame, fits: str, prepare: Callable[[DataFra
     ends = entries.groupBy("key").agg(F.min("s").alias("p"), F.max("s").alias("q")).where("p <> q")
     ends = stored(ends.select("key", "p"), "shared-ends")
     shared = stored(join_checked(entries, ends, "key").dropDuplicates(["key", "s"]), "shared-keys")
+    # keys held by the same entries are one: what can be shared by any of them decides
+    same = shared.groupBy("key").agg(
+        F.xxhash64(F.bit_xor(F.xxhash64("s")), F.bit_xor(F.xxhash64("s", F.lit(1))), F.count(F.lit(1))).alias("holders")
+    )
+    others = [c for c in shared.columns if c not in ("key", "s")]
+    merged = shared.join(same, "key").groupBy("holders", "s").agg(*[F.max(c).alias(c) for c in others])
+    shared = stored(merged.withColumnRenamed("holders", "key"), "shared-holders")
     nodes = stored(shared.select(F.col("s").alias("id")).distinct(), "shared-nodes")
     verify = prepare(nodes)
     pivots = shared.where("s = p")
     star = shared.where("s <> p").alias("u").join(pivots.alias("v"), "key").where(fits)
     near = stored(verify(star.selectExpr("v.s as x", "u.s as y").distinct()), "links")
     groups = components(nodes, near.selectExpr("x as a", "y as b")).selectExpr("id as s", "component_id as c")
+    groups = stored(groups, "entry-groups")
     known = shared.join(groups, "s")
     roots = known.where("s = p").selectExpr("key", "c as r")
     placed = stored(known.join(roots, "key"), "placed-keys")
@@ -39,4 +47,6 @@ def links_through_keys(entries: DataFrame, fits: str, prepare: Callable[[DataFra
         .where(f"u.c <> v.c and (v.c = v.r or u.s < v.s) and {fits}")
         .selectExpr("least(u.s, v.s) as x", "greatest(u.s, v.s) as y").distinct()
     )
-    return near.unionByName(stored(verify(far), "links"))
+    # each group of the first links as a star: as many links as entries
+    stars = groups.where("s <> c").selectExpr("s as x", "c as y")
+    return stars.unionByName(stored(verify(far), "links"))
