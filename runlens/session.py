@@ -17,8 +17,11 @@ ENGINE_CONF = {
 }
 
 
-def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
+def local_session(cores: int | str = 8, memory: str = "8g", scratch: str | None = None) -> SparkSession:
+    """`scratch`: folder of intermediate tables (`spark.checkpoint.dir`), else the warehouse's."""
     builder = SparkSession.builder
+    if scratch is not None:
+        builder = builder.config("spark.checkpoint.dir", scratch)
     for key, value in ENGINE_CONF.items():
         builder = builder.config(key, value)
     spark = (

@@ -9,8 +9,8 @@ from runlens.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(8, "8g")
+def spark(tmp_path_factory):
+    return local_session(8, "8g", str(tmp_path_factory.mktemp("shared")))
 
 
 TINY = "/root/testdata/sf0.001"
