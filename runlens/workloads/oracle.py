@@ -602,6 +602,9 @@ BODIES = {
     "load_run_reports_latest": "SELECT scenario, iteration, run, Yr, beg_mid, fleet, "
     + ", ".join(f'round("{a}", 6) AS "{a}"' for a in range(21))
     + " FROM natage WHERE ends_with(run, '_EM_2001')",
+    "load_run_reports_truth": "SELECT scenario, iteration, run, Yr, beg_mid, fleet, "
+    + ", ".join(f'round("{a}", 6) AS "{a}"' for a in range(21))
+    + " FROM natage WHERE contains(run, '_OM')",
     "at_age_long": "SELECT scenario, run, Yr, fleet, age, count(*) AS n_rows, "
     "CAST(sum(CAST(n AS BIGINT)) AS BIGINT) AS total FROM natage_long WHERE beg_mid = 'B' GROUP BY 1, 2, 3, 4, 5",
     # B
@@ -831,6 +834,11 @@ BODIES = {
     "AS catch, CASE side WHEN 'EM' THEN 0.01::DOUBLE END AS catch_se, CASE side WHEN 'EM' THEN 0 END AS fixed FROM "
     "(SELECT *, CASE WHEN (yr - (SELECT min(yr) FROM template)) % 3 = 0 THEN 0.1::DOUBLE ELSE catch END AS c FROM template) "
     "CROSS JOIN grid CROSS JOIN (VALUES ('OM'), ('EM')) s(side)",
+    "scaled_random_schedule": "SELECT scenario, yr, seas, fltsvy, side, round(CASE side WHEN 'OM' THEN c * multiplier "
+    "ELSE c END, 6) AS catch, CASE side WHEN 'EM' THEN 0.5::DOUBLE END AS catch_se, CASE side WHEN 'EM' THEN 1 END AS fixed "
+    "FROM (SELECT *, CASE WHEN yr IN (SELECT y FROM (SELECT unnest(range(min(yr), max(yr) + 1)) AS y FROM template) "
+    "ORDER BY md5('12345|' || y), y LIMIT 3) THEN 0.1::DOUBLE ELSE catch END AS c FROM template) "
+    "CROSS JOIN grid CROSS JOIN (VALUES ('OM'), ('EM')) s(side)",
     "frequency_tables": "SELECT 'fleet_part' AS table_name, fltsvy::VARCHAR AS a, part::VARCHAR AS b, count(*) AS n "
     "FROM comps GROUP BY 1, 2, 3 UNION ALL SELECT 'season', seas::VARCHAR, '', count(*) FROM comps GROUP BY 1, 2, 3 "
     "UNION ALL SELECT 'fleet_se', fleet::VARCHAR, format('{:.3f}', round_even(catch_se, 3)), count(*) FROM plan_catch "

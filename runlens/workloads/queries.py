@@ -217,6 +217,11 @@ def load_run_reports_latest(spark, d):
     return rounded(load_run_reports(spark, _reports(spark, d), run_suffix=f"_EM_{LABEL}"))
 
 
+@query
+def load_run_reports_truth(spark, d):
+    return rounded(load_run_reports(spark, _reports(spark, d), truth=True))
+
+
 @query
 def at_age_long(spark, d):
     keep = ["scenario", "iteration", "run", "Yr", "fleet"]
@@ -983,6 +988,13 @@ def scaled_schedule(spark, d):
     return rounded(scenarios.scaled_schedule(base, _grid(spark, d)))
 
 
+@query
+def scaled_random_schedule(spark, d):
+    """The random schedule of every scenario; the estimate knows it with a large error, fixed."""
+    base = schedules.random_schedule(fx.years(spark, d), 3, 0.1, 12345)
+    return rounded(scenarios.scaled_schedule(base, _grid(spark, d), catch_se=0.5, fixed=1))
+
+
 @query
 def frequency_tables(spark, d):
     comps = fx.plan_comps(spark, d)
