@@ -216,3 +216,28 @@ def test_leaks_edges(spark):
     assert got == [(0, 7), (3, 7)]
     assert leaks.find_leaks(docs, items.where("false")).count() == 0
     assert leaks.find_leaks(docs.where("false"), items).count() == 0
+
+
+def planted_leaks():
+    """Documents of over 400 words that each hold one item word for word, and the items, by length; common words only last."""
+    rng = random.Random(12)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(4000)]
+    common, heavy = vocab[:40], [1 / (k + 10) for k in range(4000)]
+    docs, items, sizes = [], [], {}
+    for n in (5, 8, 10, 15, 30, 64, 200, 1000, -12):
+        for _ in range(15 if n < 200 else 4):
+            item = rng.choices(common, k=-n) if n < 0 else rng.choices(vocab, heavy, k=n)
+            text = rng.choices(vocab, heavy, k=450)
+            at = rng.randrange(450)
+            sizes[len(docs)] = n
+            items.append((len(docs), " ".join(item)))
+            docs.append((len(docs), " ".join(text[:at] + item + text[at:])))
+    return docs, items, sizes
+
+
+def test_leaks_of_every_length_are_found(spark):
+    docs, items, sizes = planted_leaks()
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = leaks.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    missed = set(sizes) - {r.doc_id for r in found if r.doc_id == r.item_id}
+    assert sorted(sizes[i] for i in missed) == []
