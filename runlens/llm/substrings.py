@@ -10,8 +10,8 @@ window, so a passage in a third of all texts is at most one row a task. What is
 exactly by 95 bits of hash; all but the first by (id, place) are removed. The rows of the
 result carry the places of windows to cut, joined to the texts once.
 
-Null or empty text: no words. A null id sorts first. Rows that share an id are taken for copies
-of one row: none of them is earlier than the other. Other columns are not looked at.
+Null or empty text: no words. Rows with a null id sort first, each by itself, in the order of the
+input. Rows that share an id are taken for copies of one row: none of them is earlier than the other. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm import counts, words
+from runlens.llm.tables import with_row_key
 
 SIZE = 20
 DEPTH = 2
 #: bits a row of the broadcast sketch at most: DEPTH * MOST_CELLS / 8 bytes in all
 MOST_CELLS = 1 << 28
-_NULL_ID = np.iinfo(np.int64).min
 
 
 def _split(batch: pa.RecordBatch) -> words.Words:
@@ -103,7 +103,7 @@ def candidates(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 places, which = np.unique(at, return_inverse=True)
                 starts = starts[counts.maybe_repeated(shared.value, value[places], cells)[which]]
                 text = np.searchsorted(split.first, starts, "right") - 1
-                ids = np.asarray(part.column(0).fill_null(_NULL_ID), np.int64)
+                ids = np.asarray(part.column(0), np.int64)
                 h, g = words.run_hashes(split.hashes, starts, size)
                 held.append((h, g, ids[text], starts - split.first[text]))
                 n += len(starts)
@@ -130,10 +130,10 @@ def repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 def remove_repeated(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, `n_words`, `n_removed` and `kept`, the words left."""
-    rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as id", f"`{text_col}` as text")
-    cut = repeated(rows, size).withColumnRenamed("id", "cut_id")
-    texts = words.pack_texts(rows)
-    both = texts.join(cut, F.expr(f"cut_id = coalesce(id, {_NULL_ID + 1}L - 1)"), "left").select("id", "size", "packed", "spans")
+    named = docs.selectExpr(f"cast(`{id_col}` as bigint) as own", f"`{text_col}` as text")
+    keyed = with_row_key(named, "own", "id")
+    texts = words.pack_texts(keyed, "own")
+    both = texts.join(repeated(keyed.select("id", "text"), size), "id", "left").select("own", "size", "packed", "spans")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

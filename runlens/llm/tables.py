@@ -101,3 +101,19 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
         nodes.join(found, nodes["id"] == found["u"], "left")
         .select(nodes["id"], F.coalesce("root", nodes["id"]).alias("component_id"))
     )
+
+
+def with_row_key(docs: DataFrame, id_col: str, key: str) -> DataFrame:
+    """`docs` with a bigint column `key`: the id or, for a row whose id is null, a number of its own.
+
+    Those numbers go up from the smallest bigint, so they sort first. Rows without an id are
+    written once, so that every pass sees the same numbers.
+    """
+    own = F.col(f"`{id_col}`").cast("bigint")
+    nameless = docs.where(own.isNull())
+    if nameless.isEmpty():
+        return docs.withColumn(key, own)
+    number = F.monotonically_increasing_id() + F.lit(1 - (1 << 63)) - F.lit(1)
+    return docs.where(own.isNotNull()).withColumn(key, own).unionByName(
+        stored(nameless.withColumn(key, number), "nameless-rows", wide=True)
+    )

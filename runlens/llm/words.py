@@ -160,8 +160,11 @@ def prefixes(w: Words, sizes: range, fold: np.ndarray = SAME) -> np.ndarray:
     return out
 
 
-def pack_texts(rows: DataFrame) -> DataFrame:
-    """id, text as id, size, packed: texts compressed one by one, for a shuffle that carries them."""
+def pack_texts(rows: DataFrame, also: str | None = None) -> DataFrame:
+    """id, text as id, size, packed: texts compressed one by one, for a shuffle that carries them.
+
+    also: a bigint column that goes along, as `own`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 1)
@@ -171,12 +174,13 @@ def pack_texts(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), pa.array([None if t is None else len(t) for t in texts], pa.int64()),
-                        pa.array([t and codec.compress(t, asbytes=True) for t in texts], pa.binary()),
+                        pa.array([t and codec.compress(t, asbytes=True) for t in texts], pa.binary()), part.column(2),
                     ],
-                    names=["id", "size", "packed"],
+                    names=["id", "size", "packed", "own"],
                 )
 
-    return rows.select("id", "text").mapInArrow(run, "id bigint, size bigint, packed binary")
+    packed = rows.selectExpr("id", "text", f"`{also or 'id'}` as own").mapInArrow(run, "id bigint, size bigint, packed binary, own bigint")
+    return packed if also else packed.drop("own")
 
 
 def unpack_text(size: int | None, packed: bytes | None) -> bytes:

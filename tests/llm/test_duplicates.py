@@ -76,6 +76,20 @@ def test_substrings_edges(spark):
     assert substrings.remove_repeated(df.where("false")).count() == 0
 
 
+def test_rows_without_id_are_judged_one_by_one(spark):
+    first, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    again = "a b c d e " + " ".join(first.split()[:15])
+    rows = [(None, first), (None, f"short {other}"), (None, again), (None, "only five words are here"), (7, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substrings.remove_repeated(df, size=4).collect())
+    assert got == [(0, 5, 0), (0, 20, 15), (0, 40, 0), (0, 41, 0), (7, 40, 40)]
+    line, new = "this line is in two of the texts", "these words are of the {} text and nothing like others {}"
+    texts = [f"{line}\n{new.format('first', first)}", f"{new.format('second', other)}\n{line}", f"clean one {first[80:120]}\n{other[80:]}"]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").coalesce(1)
+    got = {r.text for r in lines.dedup_lines(df).collect()}
+    assert got == {texts[0], texts[1].split("\n")[0], texts[2]}
+
+
 @pytest.mark.parametrize("frequent", [3, 50])
 def test_ngram_groups_small(spark, frequent):
     """With a low bound nearly all tokens are frequent: the combinations must find the groups."""
