@@ -71,7 +71,7 @@ def op1_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents")).selectExpr(
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), every=True).selectExpr(
         "doc_id",
         "cast(size(split(text, '\n')) + coalesce(size(removed_lines), 0) as bigint) as n_lines",
         "cast(coalesce(size(removed_lines), 0) as bigint) as n_removed",

@@ -249,6 +249,12 @@ def test_near_lines_are_found_at_ordinary_lengths(spark):
     assert {n: found[n] for n in near if found[n] < 0.95 * near[n]} == {}
 
 
+def test_repeats_of_short_lines(spark):
+    rows = [(1, "Too short\n这一行没有空格但是很长也会重复出现\n---\n\n \nonce"), (2, "too  short!\n这一行没有空格但是很长也会重复出现\n---\n\n \nsecond")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.dedup_lines(df, every=True).collect()} == {1: rows[0][1], 2: "\n \nsecond"}
+
+
 def test_lines_edges(spark):
     line = "some line with enough words in it to count"
     rows = [(None, line, 1), (3, None, 1), (4, "", 1), (5, f"{line}!\nown\n", 1), (5, f"{line}!\nown\n", 1)]
