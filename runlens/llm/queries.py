@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import language, leaks, lines, ngram_join, personal, pieces, quality, substrings, toxicity, vectors
+from runlens.llm import fingerprints, language, leaks, lines, ngram_join, personal, pieces, quality, substrings, toxicity, vectors
 from runlens.llm.tables import join_checked, stored, table
 
 
@@ -91,6 +91,19 @@ def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.compare_with_edited(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        fingerprints.fingerprint("own_signature").alias("fingerprint"),
+        fingerprints.fingerprint("edited_signature").alias("edited_fingerprint"),
+        fingerprints.likeness("own_signature", "edited_signature").alias("near_edited"),
+        fingerprints.likeness("own_signature", "next_signature").alias("near_next"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vectors": op1_vectors,
     "op2_ngram_join": op2_ngram_join,
@@ -102,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_substrings": op9_substrings,
     "op10_leaks": op10_leaks,
+    "op11_fingerprints": op11_fingerprints,
 }
 
 ORACLE: dict[str, str] = {}
