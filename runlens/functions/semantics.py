@@ -87,13 +87,14 @@ def metric_columns(df: DataFrame, skip: tuple[str, ...] = ()) -> list[str]:
 def rounded(df: DataFrame, digits: int = 6, per_column: dict[str, int] | None = None) -> DataFrame:
     """Round every double column, so that results compare across engines.
 
-    The factor moves exact ties to one side: there the last bit of a sum, which depends
-    on the order of the rows, would otherwise decide the digit.
+    A billionth, away from zero, moves exact ties to one side: there the last bit of a sum, which
+    depends on the order of the rows, would otherwise decide the digit. It is far below the last
+    digit that is kept, so a value with no more digits than that comes back as it is.
     """
     per_column = per_column or {}
     return df.withColumns(
         {
-            c: F.round(F.col(c) * F.lit(1.000000000001), per_column.get(c, digits))
+            c: F.round(F.col(c) + F.signum(c) * F.lit(1e-9), per_column.get(c, digits))
             for c in metric_columns(df)
         }
     )

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from runlens.functions.semantics import is_finite, role, safe_ratio
 from runlens.functions.student import t_quantile
 from runlens.operators.curate import with_role
-from runlens.operators.derive import to_long
-from runlens.operators.quantiles import count_values, group_stats, same_keys, spread_stats
+from runlens.operators.quantiles import group_stats, many_stats, same_keys
+from runlens.sources.scratch import stored
 
 _SIMPLE = {"mean": "mean", "sd": "sd", "sum": "total", "min": "least", "max": "most"}
 RIBBON = {"median_ratio": 0.5, "lower_quartile": 0.25, "upper_quartile": 0.75}
@@ -81,48 +81,70 @@ def t_interval(df: DataFrame, keys: list[str], col: str | Column, level: float =
     )
 
 
+def _fenced(df: DataFrame, keys: list[str], col: str | Column, reach: float) -> tuple[DataFrame, DataFrame, Column]:
+    """Finite rows (keys, v), a stored row of hinges and fences a group, and whether `v` is inside them."""
+    value = _value(col).cast("double")
+    rows = df.where(is_finite(value)).select(*keys, value.alias("v"))
+    spread = (F.col("q2") - F.col("q0")) * reach
+    boxes = group_stats(rows, keys, F.col("v"), [0.25, 0.5, 0.75]).withColumns(
+        {"low": F.col("q0") - spread, "high": F.col("q2") + spread}
+    )
+    return rows, stored(boxes, "boxes"), F.col("v").between(F.col("low"), F.col("high"))
+
+
+#: groups with a value beyond a fence
+_TAILED = "least < low or most > high"
+
+
+def _tails(rows: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the groups that reach beyond their fences, with the fences."""
+    tailed = boxes.where(_TAILED).select(*keys, "low", "high")
+    return rows.alias("a").join(tailed.alias("b"), same_keys("a", "b", keys)).select("a.*", "low", "high")
+
+
 def boxplot_stats(df: DataFrame, keys: list[str], col: str | Column, reach: float = 1.5) -> DataFrame:
     """Box-plot numbers per group, over finite values only.
 
     Hinges are quartiles; whiskers end at the extreme values within `reach` hinge
-    spreads of the hinges; values beyond are counted as outliers. The fences need a
-    second look at the values: both looks share one shuffle of counted equal values, and the
-    fences of the few groups join it.
+    spreads of the hinges; values beyond are counted as outliers. Groups within their fences are
+    known from their extremes; the rows of the others are looked at again, as partial extremes and
+    counts, without a shuffle of values.
     """
-    probs = [0.25, 0.5, 0.75]
-    value = _value(col)
-    vals = count_values(df.where(is_finite(value)), keys, value)
-    q = spread_stats(vals, keys, probs).select(*keys, "q0", "q1", "q2")
-    v, c = F.col("v"), F.col("c")
-    spread = (F.col("q2") - F.col("q0")) * reach
-    inside = (v >= F.col("q0") - spread) & (v <= F.col("q2") + spread)
-    return (
-        vals.alias("a")
-        .join(q.alias("b"), same_keys("a", "b", keys))
-        .select(*[F.col(f"a.{k}").alias(k) for k in keys], "v", "c", "q0", "q1", "q2")
-        .groupBy(*keys)
-        .agg(
-            F.sum(c).alias("n"),
-            F.min(F.when(inside, v)).alias("lower_whisker"),
-            F.max("q0").alias("lower_hinge"),
-            F.max("q1").alias("median"),
-            F.max("q2").alias("upper_hinge"),
-            F.max(F.when(inside, v)).alias("upper_whisker"),
-            F.sum(F.when(inside, F.lit(0)).otherwise(c)).alias("n_outliers"),
-        )
+    rows, boxes, inside = _fenced(df, keys, col, reach)
+    looked = _tails(rows, boxes, keys).groupBy(*keys).agg(
+        F.min(F.when(inside, F.col("v"))).alias("lower_whisker"),
+        F.max(F.when(inside, F.col("v"))).alias("upper_whisker"),
+        F.count_if(~inside).alias("n_outliers"),
+    )
+    tailed = boxes.where(_TAILED).alias("a").join(looked.alias("b"), same_keys("a", "b", keys)).select(
+        "a.*", "lower_whisker", "upper_whisker", "n_outliers"
+    )
+    plain = boxes.where(f"not ({_TAILED})").selectExpr(
+        "*", "least as lower_whisker", "most as upper_whisker", "0L as n_outliers"
     )
+    return plain.unionByName(tailed).selectExpr(
+        *[f"`{k}`" for k in keys], "n", "lower_whisker", "q0 as lower_hinge", "q1 as median",
+        "q2 as upper_hinge", "upper_whisker", "n_outliers",
+    )
+
+
+def boxplot_outliers(df: DataFrame, keys: list[str], col: str | Column, reach: float = 1.5) -> DataFrame:
+    """The values beyond the fences: keys, value, n (how often). One row each, so that a group may have any number."""
+    rows, boxes, inside = _fenced(df, keys, col, reach)
+    beyond = _tails(rows, boxes, keys).where(~inside)
+    return beyond.groupBy(*keys, F.col("v").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def stat_lines(df: DataFrame, metrics: list[str], label: int | None = None) -> DataFrame:
-    """Mean, median and sd of every metric by year, scenario and role, in long form."""
+    """Mean, median and sd of every metric by year, scenario and role, in long form.
+
+    All metrics are accumulated side by side; they become rows after the groups are made.
+    """
     roles = with_role(df).where(F.col("role") != "Other")
     if label is not None:
         roles = roles.where((F.col("role") == "OM") | (F.col("label") == label))
-    keys = ["year", "scenario", "role"]
-    long = to_long(roles, metrics, "variable", "value", keys)
-    return summarise(
-        long, [*keys, "variable"], "value", {"mean": "mean", "median": "median", "sd": "sd"}
-    ).withColumnRenamed("role", "model_type")
+    found = many_stats(roles, ["year", "scenario", "role"], {m: F.col(m) for m in metrics}, [0.5])
+    return found.selectExpr("year", "scenario", "role as model_type", "variable", "mean", "q0 as median", "sd")
 
 
 #: Upper edges of the buckets of years until the terminal year, and their names.

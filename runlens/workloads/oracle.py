@@ -346,10 +346,11 @@ def _mentions(sql: str) -> list[str]:
 
 
 def _shift_ties(sql: str) -> str:
-    """round(x, d) -> round((x) * (1 + 1e-12), d).
+    """round(x, d) -> round(x moved by 1e-9 away from zero, d).
 
     Means of two-decimal values often end on an exact tie, where the last bit of a sum
-    would decide the digit; the shift decides it the same way in both engines.
+    would decide the digit; the shift decides it the same way in both engines, and is far below
+    the digits that are kept.
     """
     out, i = "", 0
     for m in re.finditer(r"\bround\(", sql):
@@ -362,7 +363,7 @@ def _shift_ties(sql: str) -> str:
                 cut = j
             j += 1
         inner = _shift_ties(sql[m.end():cut])
-        out += f"{sql[i:m.start()]}round(({inner}) * 1.000000000001::DOUBLE{sql[cut:j]}"
+        out += f"{sql[i:m.start()]}round(({inner}) + sign({inner}) * 1e-9::DOUBLE{sql[cut:j]}"
         i = j
     return out + sql[i:]
 
@@ -402,6 +403,17 @@ def _box(src: str, keys: str, x: str, digits: int = 6) -> str:
     )
 
 
+def _outliers(src: str, keys: str, x: str, digits: int = 6) -> str:
+    on = " AND ".join(f"a.{k.strip()} IS NOT DISTINCT FROM b.{k.strip()}" for k in keys.split(","))
+    group = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
+    finite = f"FROM {src} WHERE {x} IS NOT NULL AND isfinite({x})"
+    return (
+        f"SELECT {group}, round(a.v, {digits}) AS value, count(*) AS n FROM (SELECT {keys}, {x} AS v {finite}) a "
+        f"JOIN (SELECT {keys}, {_q(x, 0.25)} AS q1, {_q(x, 0.75)} AS q3 {finite} GROUP BY {keys}) b ON {on} "
+        f"WHERE a.v < b.q1 - 1.5 * (b.q3 - b.q1) OR a.v > b.q3 + 1.5 * (b.q3 - b.q1) GROUP BY {group}, a.v"
+    )
+
+
 def _ribbon(src: str, keys: str = "scenario, year, variable", x: str = "ratio", center: str = "median",
             digits: int = 4) -> str:
     mid = _q(x, 0.5) if center == "median" else f"avg({x})"
@@ -743,6 +755,7 @@ BODIES = {
     "iteration_mean_bias": f"SELECT scenario, type, iteration, round(mean_value, 4) AS mean_value, {PARSED} FROM bias_means",
     "iteration_mean_om_em": f"SELECT scenario, type, iteration, round(mean_value, 4) AS mean_value, {PARSED} FROM inverse_means",
     "boxplot_removals": _box("level_parsed", "type, em_name, om_name", "mean_value", 5),
+    "boxplot_outliers": _outliers("re_long", "scenario, variable", "value"),
     "boxplot_relative_error": _box("re_long", "scenario, variable", "value"),
     "boxplot_unfished_recruits": _box("r0", "scenario", "r0"),
     "median_interval95": _interval(f"SELECT *, {PARSED} FROM truth", "om_name, em_name, year", "deadB_4"),

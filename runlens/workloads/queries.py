@@ -743,13 +743,21 @@ def boxplot_removals(spark, d):
     return rounded(sm.boxplot_stats(means, ["type", "em_name", "om_name"], "mean_value"), 5)
 
 
-@query
-def boxplot_relative_error(spark, d):
+def _relative_error_long(spark: SparkSession, d: str) -> DataFrame:
     metrics = cmp.named_metrics("retainB_") | cmp.mortality_metrics()
     ts = _ts(spark, d).where(F.col("year") >= START)
     re = cmp.compare(ts, metrics, "re", both_zero=1.0)
-    long = derive.to_long(re, list(metrics), "variable", "value", ["scenario"])
-    return rounded(sm.boxplot_stats(long, ["scenario", "variable"], "value"))
+    return derive.to_long(re, list(metrics), "variable", "value", ["scenario"])
+
+
+@query
+def boxplot_relative_error(spark, d):
+    return rounded(sm.boxplot_stats(_relative_error_long(spark, d), ["scenario", "variable"], "value"))
+
+
+@query
+def boxplot_outliers(spark, d):
+    return rounded(sm.boxplot_outliers(_relative_error_long(spark, d), ["scenario", "variable"], "value"))
 
 
 @query

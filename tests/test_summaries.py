@@ -33,10 +33,10 @@ def same(a, b, tol=1e-9):
     return a == b or math.isclose(a, b, rel_tol=tol, abs_tol=1e-9)
 
 
-def test_spread_equals_direct(spark):
+def test_group_stats_equal_direct(spark):
     df = skewed(spark)
     direct = by_key(q.direct_stats(df, ["k", "j"], F.col("x"), PROBS))
-    spread = by_key(q.spread_stats(q.count_values(df, ["k", "j"], F.col("x")), ["k", "j"], PROBS))
+    spread = by_key(q.group_stats(df, ["k", "j"], F.col("x"), PROBS))
     assert direct.keys() == spread.keys()
     for k in direct:
         for c in direct[k]:
@@ -47,7 +47,7 @@ def test_spread_equals_direct(spark):
 
 def test_quantiles_match_numpy(spark):
     df = skewed(spark).where("k = 'hot'")
-    got = by_key(q.spread_stats(q.count_values(df, ["k", "j"], F.col("x")), ["k", "j"], PROBS))
+    got = by_key(q.group_stats(df, ["k", "j"], F.col("x"), PROBS))
     for j in (1, 2):
         x = np.array([r.x for r in df.where(F.col("j") == j).collect()])
         for i, p in enumerate(PROBS):
@@ -59,8 +59,8 @@ def test_quantiles_of_many_values(spark):
     """Groups with far more values than bins stay exact."""
     rng = random.Random(9)
     rows = [("hot", rng.gauss(0, 1) ** 5) for _ in range(9000)] + [("tiny", float(i)) for i in range(5)]
-    vals = q.count_values(spark.createDataFrame(rows, "k string, x double"), ["k"], F.col("x"))
-    got = by_key(q.spread_stats(vals, ["k"], PROBS), ("k",))
+    df = spark.createDataFrame(rows, "k string, x double").repartition(16)
+    got = by_key(q.group_stats(df, ["k"], F.col("x"), PROBS), ("k",))
     for k in ("hot", "tiny"):
         want = np.quantile([v for g, v in rows if g == k], PROBS)
         assert np.allclose([got[(k,)][f"q{i}"] for i in range(len(PROBS))], want, rtol=1e-12)
