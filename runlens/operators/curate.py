@@ -39,10 +39,13 @@ def prepare_runs(df: DataFrame, dim: DataFrame | None = None, offset: int = 3,
 
     An estimate keeps the years with label + offset - year > min_gap; one without a
     label has no gap and is dropped. Other rows are kept. `dim` restricts to known
-    scenarios; `min_gap=None` cuts nothing.
+    scenarios; `min_gap=None` cuts nothing. A stored label (see `with_label`) is used as it is, so
+    that a filter on it, or a join with a table of labels, picks partitions.
     """
     run = F.col("model_run")
-    out = df.where(usable(run)).withColumn("label", label_year(run))
+    out = df.where(usable(run))
+    if "label" not in df.columns:
+        out = out.withColumn("label", label_year(run))
     out = out.withColumn("years_until_terminal", F.col("label") + offset - F.col("year"))
     if min_gap is not None:
         out = out.where(
@@ -51,6 +54,11 @@ def prepare_runs(df: DataFrame, dim: DataFrame | None = None, offset: int = 3,
     return out if dim is None else out.join(dim.select("scenario"), "scenario", "left_semi")
 
 
+def with_label(df: DataFrame) -> DataFrame:
+    """Add the label year, for a table that is stored by it: `write_table(..., ("scenario", "label"))`."""
+    return df.withColumn("label", label_year(F.col("model_run")))
+
+
 def prepare_scalar(df: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     out = df.where(usable(F.col("model_run")) & F.col("scenario").isNotNull())
     return out if dim is None else out.join(dim.select("scenario"), "scenario", "left_semi")
@@ -68,7 +76,8 @@ def with_role(df: DataFrame) -> DataFrame:
 def latest_runs(df: DataFrame) -> DataFrame:
     """Truth runs, and runs whose name carries the largest label of the table."""
     run = F.col("model_run")
-    latest = df.select(F.max(label_year(run)).cast("string")).scalar()
+    label = F.col("label") if "label" in df.columns else label_year(run)
+    latest = df.select(F.max(label).cast("string")).scalar()
     return df.where(run.contains("OM") | run.contains(latest))
 
 

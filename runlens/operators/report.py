@@ -24,3 +24,16 @@ def report_table(df: DataFrame, labels: dict[str, str], digits: int = 2,
             for c, new in labels.items()
         ]
     )
+
+
+def write_report(df: DataFrame, path: str, mode: str = "error") -> None:
+    """A report table as one text file: comma-separated, with its column names as the first line.
+
+    A report has a row a scenario, so one task writes it, in the table's order.
+    """
+    df.coalesce(1).write.mode(mode).csv(path, header=True, emptyValue="", nullValue="NA")
+
+
+def read_report(df: DataFrame, path: str) -> DataFrame:
+    """The text file that `write_report` made of `df`, with the types of `df`."""
+    return df.sparkSession.read.schema(df.schema).csv(path, header=True, nullValue="NA")

@@ -172,6 +172,42 @@ def at_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LENGTHS = range(20, 70, 10)
+
+
+def reports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The reports of all runs in their wide layouts: columns by age or by length."""
+    part = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "p_size % 21 as age", f"{LENGTHS.start} + {LENGTHS.step} * (p_size % {len(LENGTHS)}) as length"
+    )
+    rows = (
+        _runs(spark, sf_dir)
+        .join(part, F.expr("l_partkey = p_partkey"))
+        .withColumns(
+            {
+                "beg_mid": F.expr("if(fleet % 2 = 0, 'B', 'M')"),
+                "age_label": F.expr("concat(year, '_', fleet, if(l_suppkey % 2 = 0, '_Asel2', '_Asel'))"),
+                "size_label": F.expr(
+                    "concat(year, '_', fleet, case l_suppkey % 3 when 0 then '_Lsel' when 1 then '_Dead' else '_Keep' end)"
+                ),
+            }
+        )
+        .withColumnRenamed("year", "Yr")
+    )
+
+    def wide(keys: list[str], by: str, numbers: range, units: str) -> DataFrame:
+        sums = [f"sum(if({by} = {a}, {units}, 0L)) / {UNIT}D as `{a}`" for a in numbers]
+        return _panel(rows, ["iteration", "Yr", "fleet", *keys], sums, run="run")
+
+    return {
+        "natage": wide(["beg_mid"], "age", AGES, "qty"),
+        "batage": wide(["beg_mid"], "age", AGES, "price"),
+        "catage": wide([], "age", AGES, "net"),
+        "ageselex": wide(["age_label"], "age", AGES, "disc").withColumnRenamed("age_label", "label"),
+        "sizeselex": wide(["size_label"], "length", LENGTHS, "tax").withColumnRenamed("size_label", "label"),
+    }
+
+
 def cpue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed and expected abundance indices."""
     rows = table(spark, sf_dir, "events").selectExpr(

@@ -281,6 +281,12 @@ CTES = {
         f'SELECT scenario, iteration, run, Yr, beg_mid, fleet, {a} AS age, "{a}" AS n FROM natage'
         for a in range(21)
     ),
+    "report_rows": f"SELECT {_scen} AS scenario, {_it} AS iteration, {_run} AS run, {_year} AS Yr, l_linenumber AS fleet, "
+    "CASE WHEN l_linenumber % 2 = 0 THEN 'B' ELSE 'M' END AS beg_mid, "
+    "CASE WHEN l_suppkey % 2 = 0 THEN 'Asel2' ELSE 'Asel' END AS age_factor, "
+    "CASE l_suppkey % 3 WHEN 0 THEN 'Lsel' WHEN 1 THEN 'Dead' ELSE 'Keep' END AS size_factor, "
+    "CAST(p_size % 21 AS INTEGER) AS age, CAST(20 + 10 * (p_size % 5) AS INTEGER) AS length, lineitem.* "
+    f"FROM lineitem JOIN part ON l_partkey = p_partkey WHERE {_run} = 'base_EM_2001'",
     "cpue": f"SELECT {_case('user_id', INDEX_SCENARIOS)} AS scenario, "
     "CAST(user_id % 10 AS INTEGER) AS iteration, "
     "CASE WHEN event_id % 2 = 0 THEN 'OM' ELSE 'EM' END AS model, event_type AS fleet_name, "
@@ -403,6 +409,18 @@ def _box(src: str, keys: str, x: str, digits: int = 6) -> str:
     )
 
 
+def _report(keys: str, by: str, numbers: range, x: str, index: str, value: str, where: str) -> str:
+    """Long rows of a report of the run base_EM_2001: every number, also those without a row."""
+    return (
+        f"SELECT scenario, iteration, run, Yr, fleet, {index}, round(coalesce({value}, 0), 6) AS {value} FROM ("
+        f"SELECT DISTINCT scenario, iteration, run, Yr, fleet, {keys} FROM report_rows WHERE {where}) g "
+        f"CROSS JOIN (SELECT CAST(unnest(range({numbers.start}, {numbers.stop}, {numbers.step})) AS INTEGER) AS {index}) "
+        f"LEFT JOIN (SELECT scenario, iteration, run, Yr, fleet, {keys}, {by} AS {index}, "
+        f"{_sum(x)} AS {value} FROM report_rows WHERE {where} GROUP BY ALL) "
+        f"USING (scenario, iteration, run, Yr, fleet, {keys}, {index})"
+    )
+
+
 def _outliers(src: str, keys: str, x: str, digits: int = 6) -> str:
     on = " AND ".join(f"a.{k.strip()} IS NOT DISTINCT FROM b.{k.strip()}" for k in keys.split(","))
     group = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
@@ -588,6 +606,14 @@ BODIES = {
     # A
     "load_summary_dq": f"SELECT {K4}, {_rounded(DQ_METRICS)} FROM dq_raw",
     "prepare_ts": f"SELECT {KL}, years_until_terminal, {_rounded(TS_METRICS)} FROM ts",
+    "prepare_ts_by_label": f"SELECT {KL}, years_until_terminal, {_rounded(TS_METRICS)} FROM ts "
+    "WHERE contains(model_run, '_EM') AND label = 2001",
+    "natage_long": _report("beg_mid", "age", range(21), "l_quantity", "age", "n", "beg_mid = 'B'"),
+    "batage_long": _report("beg_mid", "age", range(21), "l_extendedprice", "age", "biomass", "beg_mid = 'B'"),
+    "catage_long": _report("l_linenumber", "age", range(21), "l_quantity * (1 - l_discount)", "age", "catch", "true"),
+    "age_selectivity_long": _report("age_factor", "age", range(21), "l_discount", "age", "selex", "age_factor = 'Asel2'"),
+    "size_selectivity_long": _report("size_factor", "length", range(20, 70, 10), "l_tax", "length", "selex", "size_factor = 'Lsel'"),
+    "dead_selectivity_long": _report("size_factor", "length", range(20, 70, 10), "l_tax", "length", "selex", "size_factor = 'Dead'"),
     "prepare_dq": f"SELECT {KL}, years_until_terminal, {_rounded(DQ_METRICS)} FROM dq",
     "prepare_scalar": f"SELECT scenario, iteration, model_run, {_rounded(SCALAR_METRICS)} FROM scalar",
     "prepare_ts_uncut": f"SELECT {KL}, years_until_terminal, {_rounded(TS_METRICS)} FROM uncut",
@@ -875,4 +901,5 @@ BODIES = {
     "write_summary_scalar": f"SELECT scenario, iteration, model_run, {_rounded(SCALAR_METRICS)} FROM scalar_raw",
 }
 
+BODIES["report_table_text"] = BODIES["report_table"]
 ORACLE: dict[str, str] = {name: _shift_ties(_with(body)) for name, body in BODIES.items()}

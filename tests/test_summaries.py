@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import statistics
 
 import numpy as np
@@ -170,3 +171,54 @@ def test_terminal_groups(spark):
     df = spark.createDataFrame([(g,) for g in (0, 3, 4, 6, 7, None)], "g int")
     got = [r[0] for r in df.select(sm.terminal_group(F.col("g"))).collect()]
     assert got == ["0-3", "0-3", "3-6", "3-6", "6+", "Other"]
+
+
+def test_one_hot_and_many_small_groups(spark):
+    """Both forms of the accumulator in one call: sorted cuts, and bounds with a second look."""
+    hot = spark.range(60_000, numPartitions=8).selectExpr("'hot' as k", "0 as j", "cast(xxhash64(id) % 100000 as double) as x")
+    small = spark.range(40_000, numPartitions=8).selectExpr(
+        "'small' as k", "cast(id % 10000 as int) as j", "if(id % 7 = 0, null, cast(id * id % 1009 as double)) as x"
+    )
+    df = hot.unionByName(small)
+    want = by_key(q.direct_stats(df, ["k", "j"], F.col("x"), PROBS))
+    got = by_key(q.group_stats(df, ["k", "j"], F.col("x"), PROBS))
+    assert len(got) == 10_001 and want["hot", 0]["n"] > q.CUTS
+    for k in want:
+        assert all(same(want[k][c], got[k][c], 1e-9) for c in want[k]), (k, want[k], got[k])
+
+
+@pytest.mark.parametrize("n", [q.CUTS - 1, q.CUTS, q.CUTS + 1, 3 * q.CUTS])
+def test_both_sides_of_the_accumulators_bound(spark, n):
+    for values in (lambda i: i, lambda i: i % 3, lambda i: -1.0 if i else math.inf):
+        df = spark.createDataFrame([("a", float(values(i))) for i in range(n)], "k string, x double").repartition(8)
+        got = q.group_stats(df, ["k"], F.col("x"), PROBS).first()
+        want = q.direct_stats(df, ["k"], F.col("x"), PROBS).first()
+        assert all(same(got[f"q{i}"], want[f"q{i}"]) for i in range(len(PROBS))), (got, want)
+
+
+def test_many_metrics_are_one_shuffled_row_a_group(spark):
+    """Names of keys and metrics may be any, and the shuffle has no row a metric."""
+    df = spark.range(1000, numPartitions=4).selectExpr("cast(id % 3 as int) as n", "cast(id % 2 as int) as variable", "id * 1D as a", "id % 11 * 1D as v0")
+    got = q.many_stats(df, ["n", "variable"], {"a": F.col("a"), "v0": F.col("v0")}, [0.5], "metric").collect()
+    for r in got:
+        x = [i if r["metric"] == "a" else i % 11 for i in range(1000) if i % 3 == r[0] and i % 2 == r[1]]
+        assert r["q0"] == statistics.median(x) and r["total"] == sum(x)
+    assert len(got) == 12
+    values = df.selectExpr("n as k0", "a as v0", "v0 as v1")
+    out = q._accumulated(values, ["k0"], ["a", "b"], [0.5])
+    out.collect()
+    tracked = [p for p in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", out._jdf.queryExecution().executedPlan().toString())]
+    assert tracked and all(p.startswith("k0") for p in tracked)
+
+
+def test_outliers_are_all_listed(spark):
+    rng = random.Random(4)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(5000)] + [("a", 50.0)] * 3 + [("b", float(i)) for i in range(10)] + [("c", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(8)
+    x = np.array([v for k, v in rows if k == "a"])
+    lo, hi = np.quantile(x, [0.25, 0.75])
+    want = sorted(v for v in x if v < lo - 1.5 * (hi - lo) or v > hi + 1.5 * (hi - lo))
+    got = sm.boxplot_outliers(df, ["k"], "x").collect()
+    assert sorted(v for r in got for v in [r["value"]] * r["n"]) == want and {r["k"] for r in got} == {"a"}
+    box = {r["k"]: r for r in sm.boxplot_stats(df, ["k"], "x").collect()}
+    assert box["a"]["n_outliers"] == len(want) and box["b"]["n_outliers"] == 0 and box["b"]["upper_whisker"] == 9.0
