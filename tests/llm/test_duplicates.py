@@ -190,35 +190,32 @@ def levenshtein(a, b):
 
 
 def test_lines(spark):
+    """One line of every group stays, groups by brute force over the distinct lines; 90 % of the rest go at least."""
     rng = random.Random(6)
     words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
-    long = [" ".join(rng.choices(words, k=80)) for _ in range(12)]
+    long = [" ".join(rng.choices(words, k=12)) for _ in range(12)]
     rows = []
-    for i in range(40):
+    for i in range(30):
         own = []
-        for _ in range(5):
+        for _ in range(4):
             w = rng.choice(long).split()
-            if rng.random() < 0.4:
-                w[rng.randrange(80)] = "changed"
+            if rng.random() < 0.3:
+                w[rng.randrange(12)] = "other"
             own.append(" ".join(w).upper() + "." if rng.random() < 0.3 else " ".join(w))
         rows.append((i, "\n".join([*own, "too short", ""])))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = {r.doc_id: r.text.split("\n") for r in lines.dedup_lines(df).collect()}
-    norm = [(i, k, " ".join(re.findall("[a-z]+", x.lower()))) for i, t in rows for k, x in enumerate(t.split("\n"))]
-    firsts, groups = [], {}
-    for i, k, x in norm:
-        if len(x.split()) >= lines.MIN_WORDS:
-            near = [f for f in groups if f == x or levenshtein(f, x) <= 0.2 * max(len(f), len(x))]
-            groups.setdefault(x, near)
-            firsts.append(((i, k), x, bool(near)))
-    # equal lines go, unlike lines stay; how many near ones are found is the SimHash's recall
-    total = Counter()
-    for (i, k), x, repeated in firsts:
-        total["repeated" if repeated else "first"] += 1
-    left = sum(len([x for x in v if len(x.split()) >= 4]) for v in kept.values())
-    assert len(long) <= left <= total["first"] + 0.5 * len(groups)
-    exact = [x for v in kept.values() for x in v if len(x.split()) >= 4]
-    assert len({" ".join(re.findall("[a-z]+", x.lower())) for x in exact}) == len(exact)
+    distinct = sorted({" ".join(re.findall("[a-z]+", x.lower())) for _, t in rows for x in t.split("\n")[:-2]})
+    parent = {x: x for x in distinct}
+    for i, x in enumerate(distinct):
+        for y in distinct[:i]:
+            if levenshtein(x, y) <= 0.2 * max(len(x), len(y)):
+                parent[find(parent, x)] = find(parent, y)
+    groups = len({find(parent, x) for x in distinct})
+    left = [x for v in kept.values() for x in v if len(x.split()) >= 4]
+    assert groups < len(distinct) < 4 * len(rows)
+    assert groups <= len(left) <= groups + 0.1 * (len(distinct) - groups)
+    assert len({" ".join(re.findall("[a-z]+", x.lower())) for x in left}) == len(left)
     assert all("too short" in v for v in kept.values())
 
 
