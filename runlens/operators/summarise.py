@@ -82,9 +82,13 @@ def t_interval(df: DataFrame, keys: list[str], col: str | Column, level: float =
 
 
 def _fenced(df: DataFrame, keys: list[str], col: str | Column, reach: float) -> tuple[DataFrame, DataFrame, Column]:
-    """Finite rows (keys, v), a stored row of hinges and fences a group, and whether `v` is inside them."""
+    """Finite rows (keys, v), a stored row of hinges and fences a group, and whether `v` is inside them.
+
+    The rows are looked at up to three times, so they are written once, keys and value only, and
+    what made them (joins, mostly) runs once.
+    """
     value = _value(col).cast("double")
-    rows = df.where(is_finite(value)).select(*keys, value.alias("v"))
+    rows = stored(df.where(is_finite(value)).select(*keys, value.alias("v")), "finite")
     spread = (F.col("q2") - F.col("q0")) * reach
     boxes = group_stats(rows, keys, F.col("v"), [0.25, 0.5, 0.75]).withColumns(
         {"low": F.col("q0") - spread, "high": F.col("q2") + spread}
