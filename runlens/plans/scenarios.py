@@ -2,35 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Reference age span over the ages each selectivity shape covers.
 MULTIPLIERS = {"flat": 21 / 21, "young": 21 / 9, "old": 21 / 17.25, "mid": 21 / 16.75}
 
 
+def product(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of `left` with every row of `right`, a dimension.
+
+    The dimension's rows are numbered; a row of `left` is repeated for every number, and the
+    numbers are joined. No value holds the whole dimension, whatever its size.
+    """
+    order = Window.orderBy(*right.columns)
+    numbered = right.select("*", (F.row_number().over(order) - 1).alias("product_cell"))
+    n = right.select(F.count(F.lit(1)).cast("int")).scalar()
+    cells = F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)))
+    return left.select("*", cells.alias("product_cell")).join(numbered, "product_cell").drop("product_cell")
+
+
 def scenario_grid(models: DataFrame, suffix: str = "",
                   multipliers: dict[str, float] = MULTIPLIERS) -> DataFrame:
     """Every truth model with every estimation model.
 
-    `models` is a small dimension with one column `model`; its names are attached to
-    each row as one array and exploded.
+    `models` is a dimension with one column `model`.
     """
-    listed = models.select(F.array_sort(F.collect_set("model"))).scalar()
+    listed = models.select("model").distinct()
     multiplier = F.lit(None).cast("double")
     for name, value in multipliers.items():
         multiplier = F.when(F.col("om") == name, F.lit(value)).otherwise(multiplier)
-    return (
-        models.select(F.col("model").alias("om"))
-        .distinct()
-        .select("om", listed.alias("ems"))
-        .select("om", F.explode("ems").alias("em"))
-        .select(
-            "om",
-            "em",
-            F.concat("om", F.lit("_x_"), "em", F.lit(suffix)).alias("scenario"),
-            multiplier.alias("multiplier"),
-        )
+    pairs = product(listed.withColumnRenamed("model", "om"), listed.withColumnRenamed("model", "em"))
+    return pairs.select(
+        "om",
+        "em",
+        F.concat("om", F.lit("_x_"), "em", F.lit(suffix)).alias("scenario"),
+        multiplier.alias("multiplier"),
     )
 
 
@@ -40,12 +47,8 @@ def scaled_schedule(schedule: DataFrame, grid: DataFrame, catch_se: float = 0.01
 
     The truth's mortality is multiplied by the truth model's factor; the estimate sees
     the base schedule with a standard error and a flag that tells whether it is fixed.
-    The grid is a small dimension, exploded onto the schedule rows.
     """
-    scenarios = grid.select(F.collect_list(F.struct("scenario", "multiplier"))).scalar()
-    rows = schedule.select("*", scenarios.alias("all")).select(
-        *schedule.columns, F.inline("all")
-    )
+    rows = product(schedule, grid.select("scenario", "multiplier"))
     sides = F.array(
         F.struct(
             F.lit("OM").alias("side"),

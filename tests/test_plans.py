@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import Row
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -83,6 +84,16 @@ def test_grid_and_scaled_schedule(spark):
     }
 
 
+def test_product_holds_no_array_of_the_dimension(spark):
+    left = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, b string")
+    right = spark.createDataFrame([("u",), ("u",), (None,)], "c string")
+    got = sorted(map(str, scenarios.product(left, right).collect()))
+    assert got == sorted(str(Row(a=r.a, b=r.b, c=c)) for r in left.collect() for c in ("u", "u", None))
+    assert scenarios.product(left, right.where("false")).count() == 0
+    plan = scenarios.product(left, right)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect" not in plan
+
+
 @pytest.mark.parametrize("names,want", [(["a"], "a"), (["b", "a"], "b, and a"), (["c", "a", "b"], "c, a, and b")])
 def test_scenario_label(spark, names, want):
     dim = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "scenario string, ordinal int")
