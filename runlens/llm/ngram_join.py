@@ -36,11 +36,13 @@ from pyspark.sql import functions as F
 
 from runlens.llm import counts, words
 from runlens.llm.keyed import links_through_keys
-from runlens.llm.tables import components, stored
+from runlens.llm.tables import components, join_checked, stored
 
 SIZE = 5
 FREQUENT = 50
 DEPTH = 2
+#: words of 64 bits in a set's marks
+MARKS = 8
 #: counters a row of the broadcast sketch at most, two bits each
 MOST_CELLS = 1 << 27
 
@@ -100,8 +102,15 @@ def keys(owner: np.ndarray, hashes: np.ndarray, n: np.ndarray, kind: np.ndarray)
     )
 
 
+def marks(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """Parities of the tokens on every bit, a row of `MARKS` words a set."""
+    bits = np.zeros((n, 64 * MARKS), np.uint8)
+    np.bitwise_xor.at(bits, (owner, (words.mix(hashes ^ np.uint64(3)) % np.uint64(64 * MARKS)).astype(np.int64)), 1)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def index(docs: DataFrame, size: int = SIZE, frequent: int = FREQUENT) -> DataFrame:
-    """Rows of sets (id, s, t, n: `s` and `t` are hashes of the set) and of keys (key, s, n, f)."""
+    """Rows of sets (id, s, t, n, m: hashes of the set, its size and marks) and of keys (key, s, n, f)."""
     cells = counts.cells_for(counts.words_about(docs, "text"), MOST_CELLS)
     packed = counts.sketch(docs.select("text"), lambda b: shingles(b.column(0), size)[1], DEPTH, cells, partial(classes, frequent=frequent))
     shared = docs.sparkSession.sparkContext.broadcast(packed)
@@ -116,20 +125,25 @@ def index(docs: DataFrame, size: int = SIZE, frequent: int = FREQUENT) -> DataFr
                 last = np.cumsum(n)
                 s, t = (words.mix(x[last] - x[last - n] + n.astype(np.uint64)).view(np.int64) for x in sums)
                 empty = pa.nulls(len(n), pa.int64())
+                ends = pa.array(np.arange(len(n) + 1, dtype=np.int32) * MARKS)
+                m = pa.ListArray.from_arrays(ends, pa.array(marks(owner, h, len(n)).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(s), pa.array(t), pa.array(n), empty, empty],
-                    names=["id", "s", "t", "n", "key", "f"],
+                    [part.column(0), pa.array(s), pa.array(t), pa.array(n), empty, empty, m],
+                    names=["id", "s", "t", "n", "key", "f", "m"],
                 )
                 key, of, f = keys(owner, h, n, class_of(shared.value, h, cells))
                 _, once = np.unique(np.column_stack([key.view(np.int64), s[of]]), axis=0, return_index=True) if len(key) else (0, [])
                 key, of, f = key[once], of[once], f[once]
                 empty = pa.nulls(len(key), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [empty, pa.array(s[of]), empty, pa.array(n[of]), pa.array(key.view(np.int64)), pa.array(f.astype(np.int64))],
-                    names=["id", "s", "t", "n", "key", "f"],
+                    [
+                        empty, pa.array(s[of]), empty, pa.array(n[of]), pa.array(key.view(np.int64)), pa.array(f.astype(np.int64)),
+                        pa.nulls(len(key), pa.list_(pa.int64())),
+                    ],
+                    names=["id", "s", "t", "n", "key", "f", "m"],
                 )
 
-    return docs.mapInArrow(scan, "id bigint, s bigint, t bigint, n bigint, key bigint, f bigint")
+    return docs.mapInArrow(scan, "id bigint, s bigint, t bigint, n bigint, key bigint, f bigint, m array<bigint>")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -167,23 +181,28 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
 #: by size, and by what can be shared from the first shared key on: no similar pair fails it there
 FITS = "5 * least(u.n, v.n) >= 4 * greatest(u.n, v.n) and 9 * least(u.f, v.f) >= 4 * (u.n + v.n)"
+#: by the marks: a bit set in one alone is at least one token in one alone
+CLOSE = f"9 * ({' + '.join(f'bit_count(u.m{i} ^ v.m{i})' for i in range(MARKS))}) <= u.n + v.n"
 
 
 def groups(
     docs: DataFrame, size: int = SIZE, frequent: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per id: `n_shingles` and `component_id`, the smallest id reachable by links."""
-    rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as id", f"`{text_col}` as text").where("id is not null")
+    rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as id", f"`{text_col}` as text")
     found = stored(index(rows, size, frequent), "ngram-index", wide=True)
-    sets = found.where("key is null").select("id", "s", "t", "n").dropDuplicates(["id"])
+    every = found.where("key is null")
+    sets = every.where("id is not null").select("id", "s", "t", "n").dropDuplicates(["id"])
     entries = found.where("key is not null").select("key", "s", "n", "f")
     # one representative for equal sets
-    first = stored(sets.where("n > 0").groupBy("s", "t", "n").agg(F.min("id").alias("rep")), "ngram-sets")
+    first = sets.where("n > 0").groupBy("s", "t", "n").agg(F.min("id").alias("rep"))
+    first = stored(first.join(every.selectExpr("id as rep", "s", "m").dropDuplicates(["rep", "s"]), ["rep", "s"]), "ngram-sets")
     reps = first.select("s", "rep")
+    bits = first.selectExpr("s", *[f"m[{i}] as m{i}" for i in range(MARKS)])
 
     def prepare(nodes: DataFrame) -> Callable[[DataFrame], DataFrame]:
-        active = nodes.withColumnRenamed("id", "s").join(reps, "s").select(F.col("rep").alias("id"))
-        texts = stored(words.pack_texts(rows).join(active, "id"), "ngram-texts", wide=True)
+        active = stored(nodes.withColumnRenamed("id", "s").join(reps, "s").select(F.col("rep").alias("id")), "ngram-active")
+        texts = stored(words.pack_texts(join_checked(rows, active, "id")), "ngram-texts", wide=True)
 
         def verify(pairs: DataFrame) -> DataFrame:
             """Similar ones of pairs (x, y) of set hashes."""
@@ -194,8 +213,10 @@ def groups(
 
         return verify
 
-    linked = links_through_keys(entries, FITS, prepare)
+    linked = links_through_keys(entries, FITS, prepare, bits, CLOSE)
     links = linked.join(reps.selectExpr("s as x", "rep as a"), "x").join(reps.selectExpr("s as y", "rep as b"), "y")
-    same = sets.join(first, ["s", "t", "n"]).selectExpr("id as a", "rep as b")
+    same = sets.join(first.drop("m"), ["s", "t", "n"]).selectExpr("id as a", "rep as b")
     joined = components(sets.select("id"), same.unionByName(links.select("a", "b")))
-    return sets.join(joined, "id").selectExpr(f"id as `{id_col}`", "n as n_shingles", "component_id")
+    nameless = every.where("id is null").selectExpr("id", "n", "cast(null as bigint) as component_id")
+    out = sets.join(joined, "id").select("id", "n", "component_id").unionByName(nameless)
+    return out.selectExpr(f"id as `{id_col}`", "n as n_shingles", "component_id")
