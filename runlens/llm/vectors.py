@@ -9,7 +9,7 @@ replace a hash by the axis that comes next. What shares a bucket, a label and a
 
 Vectors that are null, zero, or hold a null or non-finite component, and those with a null
 label, link with nothing and are their own group. Vectors of different length never link. Rows
-that share an id are separate vectors with that id. Other columns are not looked at.
+that share an id are separate vectors with that id, a result row each. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -127,14 +127,15 @@ def links(
 ) -> DataFrame:
     """One row per vector: id, `n_links`, `component_id`, `kept`."""
     rows = vectors.selectExpr(f"cast(`{id_col}` as bigint) as id", f"`{label_col}` as label", f"`{vector_col}` as v")
-    usable = rows.where(
+    fit = (
         "id is not null and label is not null and size(v) > 0 and exists(v, x -> x <> 0)"
         " and forall(v, x -> x is not null and not isnan(x) and abs(x) < cast('infinity' as double))"
     )
-    entries = stored(
-        usable.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("size", F.size("v")),
-        "vector-entries",
-    )
+    usable = rows.where(fit)
+    entries = usable.groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    # an entry has a number of its own: ids may repeat; written once, so every step sees the same numbers
+    numbered = entries.withColumn("size", F.size("v")).withColumn("rep", F.monotonically_increasing_id())
+    entries = stored(numbered, "vector-entries")
     hashed = stored(_hashed(entries), "vector-buckets")
     keys = ["label", "size", "bucket"]
     pairs = (
@@ -146,11 +147,12 @@ def links(
     copies = entries.select("rep", "copies")
     both = near.selectExpr("inline(array(struct(a as rep, b as other), struct(b as rep, a as other)))")
     linked = both.join(copies.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.sum("copies").alias("more"))
-    groups = components(copies.selectExpr("rep as id"), near).withColumnRenamed("id", "rep")
+    members = components(copies.selectExpr("rep as id"), near).selectExpr("id as rep", "component_id as root")
+    members = stored(members.join(entries.select("rep", "id"), "rep"), "vector-members")
+    groups = members.join(members.groupBy("root").agg(F.min("id").alias("c")), "root").select("rep", "c")
     of_entry = entries.join(groups, "rep").join(linked, "rep", "left").selectExpr(
-        "label", "v", "copies - 1 + coalesce(more, 0) as n", "component_id as c"
-    )
-    found = usable.join(of_entry, ["label", "v"]).groupBy("id").agg(F.max("n").alias("n"), F.min("c").alias("c"))
-    return rows.select("id").join(found, "id", "left").selectExpr(
-        f"id as `{id_col}`", "coalesce(n, 0L) as n_links", "coalesce(c, id) as component_id", "id <=> coalesce(c, id) as kept"
+        "label", "v", "copies - 1 + coalesce(more, 0) as n", "c"
     )
+    found = usable.join(of_entry, ["label", "v"]).select("id", "n", "c")
+    alone = rows.where(f"not coalesce({fit}, false)").selectExpr("id", "0L as n", "id as c")
+    return found.unionByName(alone).selectExpr(f"id as `{id_col}`", "n as n_links", "c as component_id", "id <=> c as kept")
