@@ -336,7 +336,11 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id"
 
 
 def add_pieces(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
-    """`docs` with the ids of every text in `ids_col`, and the text that they give back in `text_col`."""
+    """`docs` with the ids of every text in `ids_col`, and the text that they give back in `text_col`.
+
+    An input column called `ids_col` is replaced.
+    """
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() != ids_col.lower()])
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     place = docs.columns.index(text_col)
 

@@ -33,7 +33,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = f"{_remainder(3)} = 1"
     return language.identify(docs, docs.where(f"not ({held_out})")).selectExpr(
-        "doc_id", f"{held_out} as held_out", "lang_pred", "score"
+        "doc_id", f"coalesce({held_out}, false) as held_out", "lang_pred", "score"
     )
 
 
@@ -43,7 +43,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), f"not ({held_out})"
     )
     return scored.selectExpr(
-        "doc_id", f"{held_out} as held_out", "score", "cast(score >= 0.7 as int) as predicted"
+        "doc_id", f"coalesce({held_out}, false) as held_out", "score", "cast(score >= 0.7 as int) as predicted"
     )
 
 
@@ -64,7 +64,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = join_checked(docs, stored(known, "toxicity-labels"), "doc_id").where("text is not null").select("text", "y")
     rows = stored(rows, "toxicity-rows", wide=True)
     return toxicity.detect(docs, toxicity.train(rows)).selectExpr(
-        "doc_id", f"{held_out} as held_out", "score", "cast(score >= 0.5 as int) as predicted", "spans"
+        "doc_id", f"coalesce({held_out}, false) as held_out", "score", "cast(score >= 0.5 as int) as predicted", "spans"
     )
 
 

@@ -103,6 +103,34 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
     )
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """`name`, or it with so many underscores behind that no column is called alike."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_own_key(docs: DataFrame, id_col: str, key: str) -> DataFrame:
+    """`docs` with a bigint column `key` that no two rows share: the id, or a number of its own
+    for a row whose id is null or repeated. Those numbers sort first; such rows are written once.
+    """
+    own, again = F.col(f"`{id_col}`").cast("bigint"), free_name(docs.columns, "again")
+    repeated = docs.select(own.alias(key)).groupBy(key).count().where(f"count > 1 and `{key}` is not null").select(key)
+    repeated = stored(repeated.withColumn(again, F.lit(True)), "repeated-ids")
+    known = docs.withColumn(key, own)
+    if not repeated.isEmpty():
+        known = known.join(repeated, key, "left")
+    else:
+        known = known.withColumn(again, F.lit(None).cast("boolean"))
+    numbered = F.monotonically_increasing_id() + F.lit(1 - (1 << 63)) - F.lit(1)
+    odd = F.col(f"`{again}`") | F.col(f"`{key}`").isNull()
+    columns = [*docs.columns, key]
+    rest = known.where(odd).select(*[f"`{c}`" for c in docs.columns]).withColumn(key, numbered)
+    plain = known.where(f"`{again}` is null and `{key}` is not null").select(*[f"`{c}`" for c in columns])
+    return plain.unionByName(stored(rest, "numbered-rows", wide=True))
+
+
 def with_row_key(docs: DataFrame, id_col: str, key: str) -> DataFrame:
     """`docs` with a bigint column `key`: the id or, for a row whose id is null, a number of its own.
 

@@ -193,6 +193,19 @@ def is_marked(w: words.Words, marked: np.ndarray) -> np.ndarray:
     return np.isin(marks(w), marked).any(axis=1)
 
 
+def _parts(text: str) -> Iterator[str]:
+    """The lines of a text; those over SAMPLE_BYTES / 2 characters in parts, cut behind a blank where there is one."""
+    most = SAMPLE_BYTES // 2
+    for line in text.split("\n"):
+        at = 0
+        while len(line) - at > most:
+            end = line.rfind(" ", at, at + most) + 1 or at + most
+            yield line[at:end]
+            at = end
+        if at < len(line):
+            yield line[at:]
+
+
 def sample(rows: DataFrame, marked: np.ndarray) -> pa.Table:
     """Lines to learn from: SAMPLE_LINES with a marked word and as many without, by a hash's order."""
     shared = rows.sparkSession.sparkContext.broadcast(marked)
@@ -201,7 +214,7 @@ def sample(rows: DataFrame, marked: np.ndarray) -> pa.Table:
         for batch in batches:
             both = [
                 (s, y) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                for s in (t or "").split("\n") if 0 < len(s) <= SAMPLE_BYTES // 2
+                for s in _parts(t or "")
             ]
             if both:
                 lines = [s for s, _ in both]

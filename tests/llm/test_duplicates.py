@@ -183,6 +183,14 @@ def test_vectors(spark):
     assert vectors.links(df.where("false")).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a, 1), (1, b, 2), (2, [1.0, 0.01, 0.0], 1), (3, [0.01, 1.0, 0.0], 2), (5, a, 3), (5, [1.0, 0.02, 0.0], 3), (5, None, 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, vectors.links(df).collect()))
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (5, 0, 5, True), (5, 1, 5, True), (5, 1, 5, True)]
+
+
 def test_vector_recall():
     """Pairs at exactly the bound share a bucket."""
     rng = np.random.default_rng(0)
@@ -282,6 +290,15 @@ def test_repeats_of_short_lines(spark):
     assert {r.doc_id: r.text for r in lines.dedup_lines(df, every=True).collect()} == {1: rows[0][1], 2: "\n \nsecond"}
 
 
+def test_lines_keep_columns_with_names_of_their_own(spark):
+    line = "some line with enough words in it to count"
+    df = spark.createDataFrame([(1, line, 7, "x"), (2, line, 8, "y")], "doc_id long, text string, line_row int, removed_lines string")
+    got = sorted(lines.dedup_lines(df).collect())
+    assert [tuple(r) for r in got] == [(1, line, 7, None), (2, "", 8, [0])]
+    other = lines.dedup_lines(df, removed_col="gone")
+    assert sorted((r.line_row, r.removed_lines, r.gone) for r in other.collect()) == [(7, "x", None), (8, "y", [0])]
+
+
 def test_lines_edges(spark):
     line = "some line with enough words in it to count"
     rows = [(None, line, 1), (3, None, 1), (4, "", 1), (5, f"{line}!\nown\n", 1), (5, f"{line}!\nown\n", 1)]
