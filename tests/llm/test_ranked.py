@@ -42,15 +42,12 @@ def samples(text):
         for term, w in terms.items():
             first = hash_long(term)
             a, b = (xxhash.xxh64_intdigest((2 * d + k).to_bytes(4, "little"), first) for k in (0, 1))
-            r = -math.log(((a & 0xFFFFFFFF) + 0.5) * ((a >> 32) + 0.5) * 2.0**-64)
-            c = -math.log(((b & 0x3FFFFF) + 0.5) * (((b >> 22) & 0x1FFFFF) + 0.5) * 2.0**-43)
-            u = ((b >> 43) + 0.5) * 2.0**-21
+            x, y, v, z = (((half & 0xFFFFFFFF) + 0.5) * 2.0**-32 for bits in (a, b) for half in (bits, bits >> 32))
+            r, c, u = -math.log(x * y), -math.log(v * z), math.log(x) / math.log(x * y)
             t = math.floor(math.log(w) / r + u)
-            worth = int((math.log(c) - r * (t - u + 1)) * 16777216)
-            low = hash_long(t, first) & 0xFFFFFFFF
-            if best is None or (worth, low) < best:
-                best = worth, low
-        out.append(best[1])
+            worth = c * y if t == 0 else c * math.exp(-r * (t - u + 1))
+            best = worth if best is None else min(best, worth)
+        out.append(hash_long(int(best * 2.0**40)) & 0xFFFFFFFF)
     return "".join(f"{x:08x}" for x in out)
 
 
