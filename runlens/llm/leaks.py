@@ -2,9 +2,10 @@
 
 Words are runs of letters and digits, lower-cased, hashed to `BUCKETS` terms. Term weights are
 inverse document frequencies over all documents; terms in more than `STOP` of them weigh 0. A
-latent space is fitted by a randomised singular value decomposition whose matrix products are
-summed over Spark tasks: its rows are the benchmark's passages, and passages of a bounded sample
-of documents that together weigh as much. Its rank exceeds the number of items searched at once.
+latent space is fitted by a randomised singular value decomposition of the benchmark's items and of
+all passages of all documents, which together weigh as much: tasks add their passages up in a
+sketch of `SKETCH` rows by random signs, Spark adds up the sketches, and the leading singular vectors
+are taken of the items and the sketch. Its rank exceeds the number of items searched at once.
 
 Every document is cut into overlapping passages of 2 * `STRIDE` words. A passage is checked if its
 cosine with an item's latent image is `NEAR` or more, or if it holds, of any run of up to `STRIDE`
@@ -32,22 +33,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm import words
-from runlens.llm.tables import stored
 
 BUCKETS = 1 << 14
 STRIDE = 32
 STOP = 0.1
 ITEMS = 256
 EXTRA_RANK = 24
-POWER = 2
-#: documents whose passages the space is fitted on, about
-SAMPLE_DOCS = 1_500
-SAMPLE_TASKS = 4
+#: rows of the sketch of all passages, whatever their number
+SKETCH = 128
 NEAR = 0.3
 LCS = 0.7
 PARAPHRASE = 0.55
 ANSWER = 0.8
 LEAST = 8
+#: bytes of the table of a block of items' runs; of more, the runs' words are looked up one by one
+TABLE = 1 << 25
 
 _TERM = words.LETTERS.copy()
 _TERM[48:58] = True
@@ -58,30 +58,56 @@ def _split(column: pa.Array) -> tuple[words.Words, np.ndarray]:
     return w, (w.hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents by term, and their number, over all rows (`text`)."""
+def corpus_statistics(docs: DataFrame) -> tuple[np.ndarray, int, np.ndarray]:
+    """Documents by term, their number, and the sketch of all passages, over all rows (`id`, `text`).
+
+    A passage of 2 * STRIDE words is a unit row of the terms that it holds. The sketch has SKETCH
+    rows: the sums of the passages that hash to them, each with a random sign.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(BUCKETS, np.int64), 0
+        total, sketch = np.zeros(BUCKETS + 1, np.int64), np.zeros(SKETCH * BUCKETS)
         for batch in batches:
             for part in words.pieces(batch, "text"):
-                w, term = _split(part.column(0))
-                of = np.repeat(np.arange(len(part)), np.diff(w.first))
-                total += np.bincount(np.unique(of * BUCKETS + term) % BUCKETS, minlength=BUCKETS)
-                n += len(part)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], n))], names=["term", "n"]
-        )
-
-    found = docs.select("text").mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    out, size = np.zeros(BUCKETS, np.int64), 0
-    for r in found.collect():  # BUCKETS + 1 rows at most
-        if r["term"] < 0:
-            size = r["n"]
+                w, term = _split(part.column(1))
+                total[BUCKETS] += len(part)
+                if not len(term):
+                    continue
+                row, text, place = _blocks(w, 2 * STRIDE)
+                key = np.unique(row * BUCKETS + term)
+                held, term = key // BUCKETS, key % BUCKETS
+                total[:BUCKETS] += np.bincount(np.unique(text[held] * BUCKETS + term) % BUCKETS, minlength=BUCKETS)
+                # copies in rows of their own are passages of their own: the id counts
+                own = np.asarray(part.column(0).fill_null(0)).astype(np.int64).view(np.uint64)[text]
+                content = np.add.reduceat(w.hashes, np.flatnonzero(np.diff(row, prepend=-1)))
+                at = words.mix(own ^ words.mix(content + place.astype(np.uint64)))
+                sign = np.where(at >> np.uint64(63), 1.0, -1.0) / np.sqrt(np.bincount(held))
+                cell = (at % np.uint64(SKETCH)).astype(np.int64) * BUCKETS
+                np.add.at(sketch, cell[held] + term, sign[held])
+        yield _vector(-1, total)
+        for k in range(SKETCH):
+            yield _vector(k, sketch[k * BUCKETS : (k + 1) * BUCKETS].astype(np.float32))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(v, np.int64 if k < 0 else np.float32)
+        for k, v in total.items():
+            yield _vector(k, v)
+
+    parts = docs.select("id", "text").mapInArrow(count, "k int, v binary").repartition(8, "k").mapInArrow(add, "k int, v binary")
+    total, sketch = np.zeros(BUCKETS + 1, np.int64), np.zeros((SKETCH, BUCKETS))
+    for r in parts.collect():  # SKETCH + 1 rows, whatever the documents' number
+        if r["k"] < 0:
+            total = np.frombuffer(bytes(r["v"]), np.int64)
         else:
-            out[r["term"]] = r["n"]
-    return out, size
+            sketch[r["k"]] = np.frombuffer(bytes(r["v"]), np.float32)
+    return total[:BUCKETS], int(total[BUCKETS]), sketch
+
+
+def _vector(k: int, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["k", "v"])
 
 
 def weights(frequency: np.ndarray, size: int) -> np.ndarray:
@@ -104,18 +130,23 @@ class Rows:
     n: int
 
 
-def passages(column: pa.Array, idf: np.ndarray, stride: int = STRIDE) -> tuple[Rows, words.Words, np.ndarray, np.ndarray]:
-    """Blocks of `stride` words as rows, the words, each block's text and its place in it."""
-    w, term = _split(column)
+def _blocks(w: words.Words, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's block of `stride` words, each block's text and its place in it."""
     count = np.diff(w.first)
     blocks = -(-count // stride)
     text = np.repeat(np.arange(len(count)), blocks)
     place = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     of = np.repeat(np.arange(len(count)), count)
-    row = (np.cumsum(blocks) - blocks)[of] + (np.arange(len(term)) - w.first[of]) // stride
+    return (np.cumsum(blocks) - blocks)[of] + (np.arange(len(of)) - w.first[of]) // stride, text, place
+
+
+def item_rows(texts: pa.Array, idf: np.ndarray) -> Rows:
+    """A row for every text."""
+    w, term = _split(texts)
+    row = np.repeat(np.arange(len(texts)), np.diff(w.first))
     value = idf[term]
     some = np.flatnonzero(value > 0)
-    return Rows(term[some], value[some], row[some], len(text)), w, text, place
+    return Rows(term[some], value[some], row[some], len(texts))
 
 
 def _unit(rows: Rows) -> Rows:
@@ -123,72 +154,35 @@ def _unit(rows: Rows) -> Rows:
     return Rows(rows.term, rows.value / np.maximum(norm, 1e-12)[rows.row], rows.row, rows.n)
 
 
-def _sums(values: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
-    """Sum of the rows of `values` by ascending key, n rows."""
-    out = np.zeros((n, values.shape[1]), values.dtype)
-    if len(key):
-        start = np.flatnonzero(np.diff(key, prepend=-1))
-        out[key[start]] = np.add.reduceat(values, start, axis=0)
-    return out
-
-
-def normal_product(rows: Rows, q: np.ndarray) -> np.ndarray:
-    """A^T (A q) of unit rows A."""
-    left = _sums(q[rows.term] * rows.value[:, None], rows.row, rows.n)
-    by = np.argsort(rows.term, kind="stable")
-    return _sums(left[rows.row[by]] * rows.value[by, None], rows.term[by], BUCKETS)
-
-
-def _summed(sample: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """normal_product over all passages of the sample: tasks' parts are added up by Spark."""
-    shared = sample.sparkSession.sparkContext.broadcast((idf, q.astype(np.float32)))
-    part = 1024  # terms of one transported part
+def latent_space(items: np.ndarray, sketch: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Orthonormal basis (terms x rank) of the leading right singular vectors of items and passages.
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, q = shared.value
-        total = np.zeros(q.shape)
-        for batch in batches:
-            for piece in words.pieces(batch, "text"):
-                total += normal_product(_unit(passages(piece.column(0), idf, 2 * STRIDE)[0]), q)
-        for k in range(0, BUCKETS, part):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k], pa.int32()), pa.array([total[k : k + part].astype(np.float32).tobytes()], pa.binary())],
-                names=["k", "v"],
-            )
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(v, np.float32)
-        for k, v in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["k", "v"])
-
-    parts = sample.mapInArrow(multiply, "k int, v binary").repartition(8, "k").mapInArrow(add, "k int, v binary")
-    out = np.zeros(q.shape)
-    for r in parts.collect():  # the size of q, whatever the sample's
-        out[r["k"] : r["k"] + part] = np.frombuffer(bytes(r["v"]), np.float32).reshape(-1, q.shape[1])
-    shared.unpersist()
-    return out
-
-
-def latent_space(items: Rows, sample: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """Orthonormal basis (terms x rank) of the leading right singular vectors.
-
-    items: unit rows. Randomised range finder with POWER rounds, then the small eigenproblem.
+    items: unit rows. A sketch of k rows adds the k-th part of the passages' weight to each of its
+    squared singular values; their median, which is about that, is taken off again.
     """
-    rank = items.n + EXTRA_RANK
-    q = np.linalg.qr(np.random.default_rng(11).normal(size=(BUCKETS, rank)))[0]
-    z = q
-    for k in range(POWER + 1):
-        own, other = normal_product(items, q), _summed(sample, idf, q)
-        # the sample together weighs as much as the items
-        heavy = max(np.trace(q.T @ own), 1e-12)
-        z = own + other * (heavy / max(np.trace(q.T @ other), heavy))
-        if k < POWER:
-            q = np.linalg.qr(z)[0]
-    value, vector = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
-    return q @ vector[:, value > 1e-9 * max(value.max(), 1e-300)]
+    other = sketch * idf
+    square, side = np.linalg.eigh(other @ other.T)
+    own = np.maximum(square - np.median(square), 0)
+    # the passages together weigh as much as the items
+    scale = np.sqrt(own / np.maximum(square, 1e-300) * ((items**2).sum() / max(square.sum(), 1e-300)))
+    stacked = np.concatenate([items, (side * scale).T @ other])
+    value, vector = np.linalg.eigh(stacked @ stacked.T)
+    value, vector = value[::-1][: len(items) + EXTRA_RANK], vector[:, ::-1][:, : len(items) + EXTRA_RANK]
+    some = value > 1e-9 * max(value.max(), 1e-300)
+    return stacked.T @ (vector[:, some] / np.sqrt(value[some]))
+
+
+def block_products(images: np.ndarray, term: np.ndarray, row: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the words' rows of `images` by block, n blocks of STRIDE slots; the last row of images is 0."""
+    padded = np.full(n * STRIDE, len(images) - 1)
+    padded[row * STRIDE + slot] = term
+    out, one = np.empty((n, images.shape[1]), np.float32), np.ones(STRIDE, np.float32)
+    # as many blocks at once as the processor's cache holds
+    for lo in range(0, n, 32):
+        hi = min(n, lo + 32)
+        taken = images[padded[lo * STRIDE : hi * STRIDE]].reshape(hi - lo, STRIDE, -1)
+        np.matmul(one, taken, out=out[lo:hi])
+    return out
 
 
 def common_subsequence(masks: dict[int, int], m: int, window: list[int]) -> int:
@@ -251,6 +245,14 @@ class Runs:
     need: np.ndarray
     item: np.ndarray
 
+    def table(self) -> np.ndarray | None:
+        """Times of a word in a run (words x runs, and a last row of 0); null if that is more than TABLE."""
+        if (len(self.word) + 1) * len(self.item) > TABLE:
+            return None
+        out = np.zeros((len(self.word) + 1, len(self.item)), np.uint8)
+        out[np.repeat(np.arange(len(self.word)), np.diff(self.first)), self.run] = self.count
+        return out
+
 
 def item_runs(texts: pa.Array) -> Runs:
     """Of a copy, `leaked` wants LCS of the item's words in common: some run has its share of them."""
@@ -269,15 +271,20 @@ def item_runs(texts: pa.Array) -> Runs:
     return Runs(word, first, key % max(len(item), 1), count, need, item)
 
 
-def held_runs(runs: Runs, w: words.Words, text: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Passages (by their first block) and items of which they hold all that a run needs."""
+def held_runs(
+    runs: Runs, table: np.ndarray | None, w: words.Words, row: np.ndarray, text: np.ndarray, place: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Passages (by their first block) and items of which they hold all that a run needs.
+
+    row: each word's block. With and without a table of the runs the result is the same.
+    """
     if not len(runs.word):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.minimum(np.searchsorted(runs.word, w.hashes), len(runs.word) - 1)
     known = np.flatnonzero(runs.word[at] == w.hashes)
-    first_block = np.searchsorted(text, np.arange(len(w.first) - 1))
-    of = np.searchsorted(w.first, known, "right") - 1
-    block = first_block[of] + (known - w.first[of]) // STRIDE
+    block = row[known]
+    if table is not None:
+        return _held_in_table(runs, table, block, at[known], text)
     # a word is in the passage of its block and in that of the block before
     second = place[block] > 0
     both = np.concatenate([block, block[second] - 1]) * len(runs.word) + np.concatenate([at[known], at[known][second]])
@@ -302,29 +309,61 @@ def held_runs(runs: Runs, w: words.Words, text: np.ndarray, place: np.ndarray) -
     return pairs[:, 0], pairs[:, 1]
 
 
+def _held_in_table(
+    runs: Runs, table: np.ndarray, block: np.ndarray, word: np.ndarray, text: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """`held_runs` by sums of the table's rows: what two blocks hold together is their sum at most."""
+    n, none = len(text), len(table) - 1
+    key = np.unique(block * none + word)
+    block, word = key // none, key % none
+    first = np.searchsorted(block, np.arange(n))
+    # a block and a row of nothing behind each block that ends its text
+    padded = np.full((n + 1, STRIDE), none)
+    padded[block, np.arange(len(block)) - first[block]] = word
+    follow = np.append(np.where(text[1:] == text[:-1], np.arange(1, n), n), n)
+    need, found = runs.need.astype(np.uint8), []
+    held = np.empty((n + 1, len(runs.item)), np.uint8)
+    for lo in range(0, n + 1, 32):
+        np.add.reduce(table[padded[lo : lo + 32]], axis=1, dtype=np.uint8, out=held[lo : lo + 32])
+    for lo in range(0, n, 1024):
+        hi = min(n, lo + 1024)
+        passage, run = np.nonzero(held[lo:hi] + held[follow[lo:hi]] >= need)
+        passage += lo
+        for k in range(0, len(run), 1 << 14):
+            p, r = passage[k : k + (1 << 14)], run[k : k + (1 << 14)]
+            own = np.sort(np.concatenate([padded[p], padded[follow[p]]], axis=1), axis=1)
+            own[:, 1:][own[:, 1:] == own[:, :-1]] = none  # a word of both blocks counts once
+            enough = table[own, r[:, None]].sum(axis=1) >= runs.need[r]
+            found.append(np.column_stack([p[enough], runs.item[r[enough]]]))
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def _search(docs: DataFrame, images: np.ndarray, items: list[Item], runs: Runs, idf: np.ndarray) -> DataFrame:
     """id, item, cosine, lcs of every hit. images: item images in term space, unit latent length."""
-    shared = docs.sparkSession.sparkContext.broadcast((images.astype(np.float32), items, runs, idf))
+    weighted = np.append(images * idf[:, None], np.zeros((1, images.shape[1])), axis=0).astype(np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast((weighted, items, runs, idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        images, items, runs, idf = shared.value
-        useful = np.abs(images).max(axis=1) > 0
+        weighted, items, runs, idf = shared.value
+        table = runs.table()
         for batch in batches:
             for part in words.pieces(batch, "text", 1 << 19):
-                rows, w, text, place = passages(part.column(1), idf)
-                if not rows.n:
+                w, term = _split(part.column(1))
+                row, text, place = _blocks(w, STRIDE)
+                if not len(text):
                     continue
-                own = useful[rows.term]
-                term, value, row = rows.term[own], rows.value[own].astype(np.float32), rows.row[own]
-                dots = _sums(images[term] * value[:, None], row, rows.n)
-                square = np.bincount(rows.row, rows.value**2, rows.n)
+                slot = np.arange(len(term)) - np.flatnonzero(np.diff(row, prepend=-1))[row]
+                dots = block_products(weighted, term, row, slot, len(text))
+                square = np.bincount(row, idf[term] ** 2, len(text))
                 # a passage is a block and the next one of the same text
                 more = np.append(text[1:] == text[:-1], False)
                 dots[more] += dots[np.flatnonzero(more) + 1]
                 square[more] += square[np.flatnonzero(more) + 1]
-                near = dots / np.sqrt(np.maximum(square, 1e-12))[:, None]
+                near = dots
+                near /= np.sqrt(np.maximum(square, 1e-12)).astype(np.float32)[:, None]
                 block, item = np.nonzero(near >= NEAR)
-                held = held_runs(runs, w, text, place)
+                held = held_runs(runs, table, w, row, text, place)
                 block, item = np.divmod(
                     np.unique(np.append(block * len(items) + item, held[0] * len(items) + held[1])), len(items)
                 )
@@ -361,19 +400,18 @@ def find_leaks(
     query = benchmark.selectExpr(f"cast(`{item_col}` as bigint) as item", f"`{item_text_col}` as text").where(
         "item is not null and text is not null"
     )
-    frequency, size = document_frequency(rows)
+    frequency, size, sketch = corpus_statistics(rows)
     idf = weights(frequency, size)
-    every = max(1, size // SAMPLE_DOCS)
-    # written once: few tasks, so that few parts of the size of the space are added up
-    sample = stored(rows.where(f"pmod(xxhash64(id), {every}) = 0").select("text").repartition(SAMPLE_TASKS), "leak-sample")
     out, held = None, []
 
     def search(block: list) -> DataFrame:
         items = [x for x in _items([r["item"] for r in block], [r["text"] for r in block]) if x.size]
         texts = pa.array([r["text"] for r in block if _items([0], [r["text"]])[0].size], pa.string())
-        found = _unit(passages(texts, np.maximum(idf, 1e-3), 1 << 30)[0])
-        basis = latent_space(found, sample, idf)
-        latent = _sums(basis[found.term] * found.value[:, None], found.row, found.n)
+        rows_of = _unit(item_rows(texts, np.maximum(idf, 1e-3)))
+        found = np.zeros((len(items), BUCKETS))
+        np.add.at(found, (rows_of.row, rows_of.term), rows_of.value)
+        basis = latent_space(found, sketch, idf)
+        latent = found @ basis
         length = np.sqrt((latent**2).sum(axis=1))
         return _search(rows, basis @ (latent / np.maximum(length, 1e-12)[:, None]).T, items, item_runs(texts), idf)
 

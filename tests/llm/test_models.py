@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import TINY
 
@@ -218,6 +219,19 @@ def test_leaks_edges(spark):
     assert leaks.find_leaks(docs.where("false"), items).count() == 0
 
 
+def test_leak_space_is_fitted_on_every_passage(spark):
+    docs = spark.range(3200).selectExpr("if(id = 0, null, id) as id", "concat('w', id) as text")
+    long = spark.range(2).selectExpr("id + 5000 as id", "array_join(transform(sequence(1, 640), i -> concat('v', id, 'x', i)), ' ') as text")
+    frequency, size, sketch = leaks.corpus_statistics(docs.unionByName(long).repartition(5))
+    assert size == 3202 and frequency.sum() >= 3200 + 2 * 600
+    # a passage of one word is 1 in a cell, one of 64 has 64 cells of an eighth; few of them meet in a cell
+    assert abs(abs(sketch).sum() - (3200 + 2 * 10 * 8)) < 40
+    # all directions of few passages are kept
+    items = np.eye(leaks.BUCKETS)[:3]
+    basis = leaks.latent_space(items, np.eye(leaks.SKETCH, leaks.BUCKETS, 7) * (np.arange(leaks.SKETCH) < 4)[:, None], np.ones(leaks.BUCKETS))
+    assert basis.shape[1] == 7 and np.allclose(basis.T @ basis, np.eye(7))
+
+
 def planted_leaks():
     """Documents of over 400 words that each hold one item word for word, and the items, by length; common words only last."""
     rng = random.Random(12)
@@ -235,6 +249,16 @@ def planted_leaks():
     return docs, items, sizes
 
 
+def test_runs_held_by_table_and_by_lookup():
+    docs, items, _ = planted_leaks()
+    runs = leaks.item_runs(pa.array([t for _, t in items]))
+    w, _ = leaks._split(pa.array([t for _, t in docs] + ["", "a b", " ".join(t for _, t in items[:40])]))
+    blocks = leaks._blocks(w, leaks.STRIDE)
+    one = leaks.held_runs(runs, runs.table(), w, *blocks)
+    other = leaks.held_runs(runs, None, w, *blocks)
+    assert set(zip(*map(list, one))) == set(zip(*map(list, other))) and len(one[0]) >= len(docs)
+
+
 def test_leaks_of_every_length_are_found(spark):
     docs, items, sizes = planted_leaks()
     docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
