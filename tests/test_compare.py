@@ -120,3 +120,14 @@ def test_all_labels_keep_estimates_without_a_truth(spark):
     df = spark.createDataFrame(rows, "scenario string, iteration int, year int, model_run string, label int, x double")
     got = cmp.pair(df, {"x": F.col("x")}).collect()
     assert sorted((r.model_run, r.x_em, r.x_om) for r in got) == [("base_EM_2001", 2.0, None), ("base_EM_init", 3.0, None)]
+
+
+def test_long_ratio_groups_once_per_row(spark):
+    """A task's memory follows the rows, not their cells: no aggregation by the metric."""
+    rows = [("s", 1, 2000, "s_OM", None, 2.0, 0.0), ("s", 1, 2000, "s_EM_1998", 1998, 1.0, 0.0),
+            ("s", 1, 2000, "s_EM_2001", 2001, None, 5.0), ("s", 2, 2000, "s_EM_1998", 1998, 3.0, 4.0)]
+    df = spark.createDataFrame(rows, "scenario string, iteration int, year int, model_run string, label int, a double, b double")
+    long = cmp.ratio_all_long(df)
+    plan = long._jdf.queryExecution().optimizedPlan().toString()
+    assert "pivotfirst" not in plan.lower() and plan.count("Aggregate") == 2
+    assert sorted(map(tuple, long.collect()), key=str) == sorted(map(tuple, cmp.ratio_all(df).select(long.columns).collect()), key=str)
