@@ -93,6 +93,20 @@ def retention_curves(params: DataFrame, x_max: int = 100) -> DataFrame:
     )
 
 
+def retention_blocks(params: DataFrame, x_max: int = 100, size: int = 8) -> DataFrame:
+    """`retention_curves` with `size` lengths side by side: y0.. of a row are those at x, x + 1, ..;
+    beyond x_max they are null.
+    """
+    first = params.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(x_max), F.lit(size))))
+    at = [F.col("x") + i for i in range(size)]
+    return first.withColumns(
+        {
+            f"y{i}": F.when(x <= x_max, logistic(x.cast("double"), F.col("width"), F.col("infl"), F.col("asym")))
+            for i, x in enumerate(at)
+        }
+    )
+
+
 def age_selectivity(scalar: DataFrame, event: str = "event_5") -> DataFrame:
     """Distinct truth selectivity at age from `AgeSel_P<n>_<event>`; age = n - 1."""
     pattern = re.compile(rf"AgeSel_P(\d+)_{re.escape(event)}")

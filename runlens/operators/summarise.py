@@ -46,6 +46,22 @@ def summarise(df: DataFrame, keys: list[str], col: str | Column,
     return base.select(*keys, *out)
 
 
+def summarise_blocks(df: DataFrame, keys: list[str], x: str, cols: list[str], x_max: int,
+                     stats: dict[str, str | float]) -> DataFrame:
+    """`summarise` of values that stand side by side: the i-th of `cols` is that at `x` + i, up to x_max.
+
+    A row of `df` is grouped (and, with many groups, sorted) once and not once a value.
+    """
+    probs = sorted({0.5 if s == "median" else s for s in stats.values()
+                    if s == "median" or isinstance(s, float)})
+    base = many_stats(df, [*keys, x], {str(i): F.col(c) for i, c in enumerate(cols)}, probs, "the place")
+    base = base.withColumn(x, F.col(x) + F.col("the place").cast("int")).where(F.col(x) <= x_max)
+    return base.select(*keys, x, *[
+        F.col("n" if s == "n" else _SIMPLE[s] if s in _SIMPLE else f"q{probs.index(0.5 if s == 'median' else s)}").alias(name)
+        for name, s in stats.items()
+    ])
+
+
 def iteration_mean(df: DataFrame, keys: list[str], col: str | Column,
                    window: tuple[int, int] | None = None, name: str = "mean_value") -> DataFrame:
     """Strict mean over the years of a window, per group."""

@@ -222,3 +222,17 @@ def test_outliers_are_all_listed(spark):
     assert sorted(v for r in got for v in [r["value"]] * r["n"]) == want and {r["k"] for r in got} == {"a"}
     box = {r["k"]: r for r in sm.boxplot_stats(df, ["k"], "x").collect()}
     assert box["a"]["n_outliers"] == len(want) and box["b"]["n_outliers"] == 0 and box["b"]["upper_whisker"] == 9.0
+
+
+def test_retention_by_blocks_sorts_rows_once(spark):
+    """Groups of side-by-side lengths have the medians of long rows, from an eighth of the rows."""
+    from runlens.operators import derive
+
+    rows = [("a", i, None if i % 7 == 0 else i / 9, i % 5 + 0.5, None if i == 3 else 1 / (i + 1)) for i in range(3000)]
+    params = spark.createDataFrame(rows, "g string, i int, infl double, width double, asym double")
+    long = sm.summarise(derive.retention_curves(params, 9), ["g", "x"], "y", {"m": "median", "n": "n", "top": "max"})
+    blocks = derive.retention_blocks(params, 9, 4)
+    assert blocks.count() == 3 * 3000
+    wide = sm.summarise_blocks(blocks, ["g"], "x", ["y0", "y1", "y2", "y3"], 9, {"m": "median", "n": "n", "top": "max"})
+    got, want = (sorted(map(tuple, d.select("g", "x", "m", "n", "top").collect())) for d in (wide, long))
+    assert len(got) == 10 and got == want
