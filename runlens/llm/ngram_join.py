@@ -200,7 +200,7 @@ def groups(
     reps = first.select("s", "rep")
     bits = first.selectExpr("s", *[f"m[{i}] as m{i}" for i in range(MARKS)])
 
-    def prepare(nodes: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    def prepare(nodes: DataFrame) -> tuple[Callable[[DataFrame], DataFrame], DataFrame]:
         active = stored(nodes.withColumnRenamed("id", "s").join(reps, "s").select(F.col("rep").alias("id")), "ngram-active")
         texts = stored(words.pack_texts(join_checked(rows, active, "id")), "ngram-texts", wide=True)
 
@@ -211,9 +211,9 @@ def groups(
             back = near.join(reps.selectExpr("s as x", "rep as a"), "a").join(reps.selectExpr("s as y", "rep as b"), "b")
             return back.select("x", "y")
 
-        return verify
+        return verify, bits
 
-    linked = links_through_keys(entries, FITS, prepare, bits, CLOSE)
+    linked = links_through_keys(entries, FITS, prepare, CLOSE)
     links = linked.join(reps.selectExpr("s as x", "rep as a"), "x").join(reps.selectExpr("s as y", "rep as b"), "y")
     same = sets.join(first.drop("m"), ["s", "t", "n"]).selectExpr("id as a", "rep as b")
     joined = components(sets.select("id"), same.unionByName(links.select("a", "b")))

@@ -284,6 +284,54 @@ def test_near_lines_are_found_at_ordinary_lengths(spark):
     assert {n: found[n] for n in near if found[n] < 0.95 * near[n]} == {}
 
 
+def test_unlike_lines_under_a_frequent_key_are_not_paired(spark, monkeypatch):
+    """Lines with a common pair of words only: pairs to verify stay in proportion to the lines."""
+    rng = random.Random(12)
+    rows = [(i, "of the " + " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(3))) for i in range(600)]
+    near = [(1000 + i, t[:-1] + "z") for i, t in rows[:40]]
+    seen, join = [], lines.links_through_keys
+
+    def counted(entries, fits, prepare, *close):
+        def prepared(nodes):
+            found = prepare(nodes)
+            verify = found[0] if isinstance(found, tuple) else found
+
+            def check(pairs):
+                seen.append(pairs.count())
+                return verify(pairs)
+
+            return (check, *found[1:]) if isinstance(found, tuple) else check
+
+        return join(entries, fits, prepared, *close)
+
+    monkeypatch.setattr(lines, "links_through_keys", counted)
+    df = spark.createDataFrame(rows + near, "doc_id long, text string").repartition(4)
+    gone = {r.doc_id for r in lines.dedup_lines(df).where("text = ''").collect()}
+    assert gone == {i for i, _ in near}
+    assert sum(seen) < 4 * len(rows)
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    line = "some line with enough words in it to count"
+    rows = [(1, f"own\n{line}"), (1, "short"), (2, f"{line}s"), (3, f"{line}ed")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in lines.dedup_lines(df).collect())
+    assert got == [(1, f"own\n{line}"), (1, "short"), (2, ""), (3, "")]
+
+
+def test_edit_check_of_large_lines(spark):
+    """Parts settle copies, the whole distance the rest: as by the built-in distance alone."""
+    rng = random.Random(13)
+    pairs = []
+    for share in (0.0, 0.02, 0.1, 0.17, 0.19, 0.2, 0.21, 0.24, 0.5):
+        a = "".join(rng.choices("abcdef é", k=rng.randint(2100, 2600)))
+        b = "".join(rng.choice(["", "xx", "y"]) if rng.random() < share else c for c in a)
+        pairs += [(a, b), (a, "q" * rng.randint(0, 300) + b), (a, a[::-1])]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.selectExpr(lines._near("a", "b"), "levenshtein(a, b) <= 0.2 * greatest(length(a), length(b)) + 1e-9").collect()
+    assert all(x == y for x, y in got) and {x for x, _ in got} == {True, False}
+
+
 def test_repeats_of_short_lines(spark):
     rows = [(1, "Too short\n这一行没有空格但是很长也会重复出现\n---\n\n \nonce"), (2, "too  short!\n这一行没有空格但是很长也会重复出现\n---\n\n \nsecond")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
