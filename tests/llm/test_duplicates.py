@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from conftest import TINY
 
 from runlens.llm import lines, ngram_join, substrings, vectors
-from runlens.llm.tables import components
+from runlens.llm.tables import components, prepare, stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -332,6 +333,46 @@ def test_edit_check_of_large_lines(spark):
     assert all(x == y for x, y in got) and {x for x, _ in got} == {True, False}
 
 
+def test_edit_check_by_words_and_beginnings(spark):
+    """A distance by whole words is never below the edit distance and settles lines with other, more or fewer words; all checks agree."""
+    rng = random.Random(14)
+    words = ["".join(rng.choices("abcdeéf", k=rng.randint(1, 9))) for _ in range(300)]
+    pairs = []
+    for i in range(150):
+        a = rng.choices(words, k=rng.randint(1, 120))
+        b = list(a)
+        for _ in range(rng.choice([0, 1, 3, len(a) // 6, len(a) // 3, len(a)])):
+            at = rng.randrange(len(b))
+            b[at : at + 1] = rng.choice([[rng.choice(words)], [b[at][1:] + "e"], [b[at], rng.choice(words)], []]) or b[:1]
+        pairs += [(" ".join(a), " ".join(b)), (" ".join(a), " ".join(rng.choices(words, k=len(a))))]
+    one = rng.choices(words, k=80)
+    pairs += [(" ".join(one), " ".join([*one[:30], "some", "more", "words", *one[30:79], "x"])), ("", "a"), ("a", "a")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.selectExpr(
+        lines._near("a", "b"), "levenshtein(a, b) <= 0.2 * greatest(length(a), length(b)) + 1e-9", f"{lines._by_words('a', 'b')} as w",
+        f"{lines._by_words('b', 'a')} as v", "levenshtein(a, b) as d",
+    ).collect()
+    assert all(x == y and w == v >= d for x, y, w, v, d in got) and {r[0] for r in got} == {True, False}
+    assert got[-3].w < 40 and sum(r.w < 2 * r.d + 1 for r in got if r[0]) > 0.5 * sum(r[0] for r in got)
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    """What a stored step has shuffled is gone soon after it, while the session goes on."""
+    prepare(spark)
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",")
+        return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", files))
+
+    before = shuffled()
+    made = stored(spark.range(0, 100_000, 1, 8).repartition(7, "id").groupBy("id").count(), "shuffled")
+    for _ in range(100):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and made.count() == 100_000
+
+
 def test_repeats_of_short_lines(spark):
     rows = [(1, "Too short\n这一行没有空格但是很长也会重复出现\n---\n\n \nonce"), (2, "too  short!\n这一行没有空格但是很长也会重复出现\n---\n\n \nsecond")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
